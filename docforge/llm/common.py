@@ -84,6 +84,9 @@ def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     the loop (compared by count and by an order-free checksum).
     """
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    e = materialised(e)
+    if e.isEmpty():
+        return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     seen = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -102,11 +102,13 @@ def resolved(url: Column, target: Column) -> Column:
 
 def edges(pages: DataFrame, url_col: str = "url", html_col: str = "html", redirects: DataFrame | None = None) -> DataFrame:
     """``a, b`` URL names that are one resource; redirects: rows of ``source, target``."""
-    found = pages.where(F.col(html_col).rlike(r"(?is)<(link|meta)\b[^>]*(canonical|refresh)")).select(F.col(url_col).alias("u"), F.explode(link_targets(F.col(html_col))).alias("t"))
-    out = found.select(node_of(F.col("u")).alias("a"), node_of(resolved(F.col("u"), F.col("t"))).alias("b"))
+    found = pages.where(F.col(html_col).rlike(r"(?is)<(link|meta)\b[^>]*(canonical|refresh)")).select(F.col(url_col).alias("source"), F.explode(link_targets(F.col(html_col))).alias("target"))
     if redirects is not None:
-        out = out.unionByName(redirects.select(node_of(F.col("source")).alias("a"), node_of(resolved(F.col("source"), F.col("target"))).alias("b")))
-    return out.where("a is not null and b is not null and a <> b").distinct()
+        found = found.unionByName(redirects.select("source", "target"))
+    # in steps, each of whose columns is used several times, so that Catalyst keeps them apart
+    full = found.select("source", resolved(F.col("source"), F.col("target")).alias("full"))
+    out = full.select(node_of(F.col("source")).alias("a"), node_of(F.col("full")).alias("b"))
+    return out.where("a is not null and b is not null and a <> b")
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
