@@ -8,6 +8,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Full-width forms that stay (Chinese punctuation of the U+FF00 block).
 KEPT_FULLWIDTH = "，；：？！（）"
@@ -137,13 +138,13 @@ def decode_bytes(data: bytes | None) -> str:
     return data.decode(name, "replace")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _detect(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield s.map(detect_bytes)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield s.map(decode_bytes)

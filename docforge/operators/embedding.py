@@ -10,6 +10,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from ..functions.control import RateLimiter, Retry
 from ..functions.vectors import cosine
@@ -49,7 +50,7 @@ def embedder(provider: EmbeddingProvider, batch: int = BATCH, qps: float | None
     has a null vector.
     """
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(ArrayType(FloatType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         limiter = RateLimiter(qps) if qps else None
         tries = retry or Retry()

@@ -14,6 +14,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import content_hash, decode_bytes, document_id, normalize
 
@@ -99,7 +100,7 @@ def html_text(html: str | None) -> tuple[str, str]:
     return "\n".join(x for x in rows if x), "".join(p.title).strip()
 
 
-@F.pandas_udf("struct<text:string,title:string>")
+@F.pandas_udf(StructType([StructField("text", StringType()), StructField("title", StringType())]))
 def html_to_text(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for s in batches:
         yield pd.DataFrame([html_text(x) for x in s], columns=["text", "title"])

@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..functions.text import content_hash, normalize
 
 
-def document_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int | None = None) -> DataFrame:
-    """New Parquet files below a folder; ``files_per_trigger`` is the back-pressure."""
+def document_stream(spark: SparkSession, path: str, schema: StructType | str, files_per_trigger: int | None = None) -> DataFrame:
+    """New Parquet files below a folder, or one file as a stream; ``files_per_trigger`` is the back-pressure."""
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
+        reader, path = reader.option("pathGlobFilter", at.getName()), at.getParent().toString()
     return reader.parquet(path)
 
 
