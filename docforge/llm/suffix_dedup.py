@@ -53,13 +53,13 @@ BLOCK = 20
 #: Starts of a text that are hashed at once, and bytes of joined texts.
 PART = 1 << 20
 #: Distinct contexts of one probe that a task sorts; contexts of a run of suffix sorting.
-CLASS_LIMIT, SORT_RUN = 50_000, 20_000
+CLASS_LIMIT, SORT_RUN = 8_000, 5_000
 FACTOR = 0x9E3779B97F4A7C15
 
 
 @lru_cache(maxsize=1)
 def _powers() -> tuple[np.ndarray, np.ndarray]:
-    n = 2 * PART + 4 * LENGTH
+    n = max(2 * PART + 4 * LENGTH, max(CLASS_LIMIT, SORT_RUN) * (LENGTH + WINDOW))
     up, down = np.full(n, FACTOR, np.uint64), np.full(n, pow(FACTOR, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
