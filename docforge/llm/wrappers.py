@@ -178,6 +178,10 @@ def aligned(a: list, b: list) -> list:
         if len(left) == len(right) == 1 and left[0][0] == right[0][0] and left[0][0] in "+?":
             out.append([left[0][0], aligned(left[0][1], right[0][1])])
             continue
+        group = next((q[0] for p, q in ((left, right), (right, left)) if len(q) == 1 and q[0] == ["+", p]), None)
+        if group:  # one page has the part once, the other repeats it
+            out.append(group)
+            continue
         for part in (left, right):
             if not part:
                 continue
