@@ -10,9 +10,10 @@ of its distinct expressions and then across them, so a host of any size is
 merged by many tasks and none holds more than distinct expressions.
 
 With the wrapper goes the host's content mass by container, from which the
-main container is taken where pages mark none themselves.  Extraction walks a
-page's tokens, keeps the slots of the main container and leaves out those in
-menus, headers, footers, sidebars, notices, adverts, forms and comments.
+main container is taken where pages mark none themselves.  Each text slot of
+the wrapper is ranked: left out in menus, headers, footers, sidebars, notices,
+adverts, forms and comments, else by how near it is to an article.  Extraction
+assigns a page's blocks to the slots and keeps the best rank that it fills.
 
 Edge cases: null or empty html gives empty text; broken or cut-off markup is
 read as far as it goes; a page without host is its own group under the empty
@@ -25,6 +26,7 @@ import json
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 from html import unescape
 
 import pandas as pd
@@ -85,17 +87,26 @@ def is_dropped(name: str, names: str, inside: bool) -> bool:
     return (name in DROPPED and not (name == "header" and inside)) or bool(names and DROPPED_NAME.search(names))
 
 
-def signature(name: str, names: str) -> str:
-    return f"{name}.{names.split()[0]}" if names else name
+#: Mark of a container that is left out, at the end of its signature.
+OUT = "!"
+Path = tuple[str, ...]
+
+
+def signature(name: str, names: str, out: bool) -> str:
+    return (f"{name}.{names.split()[0]}" if names else name) + OUT * out
+
+
+def opens_container(token: str) -> bool:
+    return token.endswith(OUT) or token.split(".")[0] in CONTAINERS
 
 
 class Reader:
-    """Blocks of a page, each with its containers."""
+    """Tokens of a page and its blocks of text, each with the path of its containers."""
 
     def __init__(self, html: str):
-        self.blocks: list[tuple[str, tuple[str, ...]]] = []  # text, signatures of the containers kept
+        self.blocks: list[tuple[str, Path]] = []
         self.tokens: list[str] = []
-        stack: list[tuple[str, str, bool]] = []  # name, signature, left out
+        stack: list[str] = []
         parts: list[str] = []
 
         def end_block() -> None:
@@ -103,8 +114,7 @@ class Reader:
             parts.clear()
             if text:
                 self.tokens.append("#")
-                if not any(s[2] for s in stack):
-                    self.blocks.append((text, tuple(s[1] for s in stack)))
+                self.blocks.append((text, tuple(stack)))
 
         for kind, name, names in walk(html):
             if kind == "text":
@@ -114,32 +124,68 @@ class Reader:
             else:
                 end_block()
                 if kind == "open":
-                    self.tokens.append(f"<{signature(name, names)}>")
-                    if name in CONTAINERS or (names and DROPPED_NAME.search(names) and name not in ("p", "li", "html")):
-                        inside = any(s[0] in ("article", "main") for s in stack)
-                        stack.append((name, signature(name, names), is_dropped(name, names, inside) and name != "body"))
-                elif any(s[0] == name for s in stack):
+                    inside = any(tag(s) in ("article", "main") for s in stack)
+                    out = name not in ("p", "li", "html", "body") and is_dropped(name, names, inside)
+                    token = signature(name, names, out)
+                    self.tokens.append(f"<{token}>")
+                    if opens_container(token):
+                        stack.append(token)
+                elif any(tag(s) == name for s in stack):
                     self.tokens.append(f"</{name}>")
-                    while stack.pop()[0] != name:
+                    while tag(stack.pop()) != name:
                         pass
         end_block()
 
     def mass(self) -> dict[str, int]:
-        """Characters of kept text by its innermost container."""
+        """Characters of text by its innermost container, of what is not left out."""
         out: dict[str, int] = {}
-        for text, inside in self.blocks:
-            key = inside[-1] if inside else ""
-            out[key] = out.get(key, 0) + len(text)
+        for text, path in self.blocks:
+            if rank(path, None):
+                key = path[-1] if path else ""
+                out[key] = out.get(key, 0) + len(text)
         return out
 
-    def main_text(self, main: str | None) -> str:
-        """Blocks of the articles, else of <main>, else of the host's main container, else all that is kept."""
-        for wanted in ("article", "main"):
-            found = [t for t, inside in self.blocks if any(s.split(".")[0] == wanted for s in inside)]
-            if found:
-                return " ".join(found)
-        found = [t for t, inside in self.blocks if main and main in inside]
-        return " ".join(found or [t for t, _ in self.blocks])
+    def main_text(self, slots: dict[Path, int], main: str | None) -> str:
+        """The blocks in the best slots that the page fills; a slot that the wrapper lacks is ranked by its own path."""
+        ranked = [(slots[path] if path in slots else rank(path, main), text) for text, path in self.blocks]
+        best = min((r for r, _ in ranked if r), default=0)
+        return " ".join(t for r, t in ranked if r == best) if best else ""
+
+
+def tag(signature_: str) -> str:
+    return signature_.rstrip(OUT).split(".")[0]
+
+
+def rank(path: Path, main: str | None) -> int:
+    """0 for a slot that is left out, else 1 in an article, 2 in <main>, 3 in the host's main container, 4 elsewhere."""
+    if any(s.endswith(OUT) for s in path):
+        return 0
+    names = {tag(s) for s in path}
+    return 1 if "article" in names else 2 if "main" in names else 3 if main and main in path else 4
+
+
+@lru_cache(maxsize=4096)
+def slots_of(wrapper: str | None, main: str | None) -> dict[Path, int]:
+    """Every text slot of a wrapper, by its containers, and its rank."""
+    out: dict[Path, int] = {}
+    stack: list[str] = []
+
+    def visit(parts: list) -> None:
+        for part in parts:
+            if len(part) > 1:
+                visit(part[1])
+            elif part[0] == "#":
+                out[tuple(stack)] = rank(tuple(stack), main)
+            elif part[0].startswith("</"):
+                name = part[0][2:-1]
+                if any(tag(s) == name for s in stack):
+                    while tag(stack.pop()) != name:
+                        pass
+            elif opens_container(part[0][1:-1]):
+                stack.append(part[0][1:-1])
+
+    visit(json.loads(wrapper) if wrapper else [])
+    return out
 
 
 def folded(parts: list) -> list:
@@ -235,12 +281,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """``id, url, text, n_chars, main`` for every page."""
     wrappers = materialised(infer(pages, url_col, html_col))
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"), host_of(F.col(url_col)).alias("host"))
-    rows = rows.join(wrappers.select("host", "main"), "host", "left").select("_id", "_url", "_html", "main")
+    rows = rows.join(wrappers, "host", "left").select("_id", "_url", "_html", "wrapper", "main")
     kind = pages.schema[id_col].dataType.simpleString()
     names = [id_col, url_col, "text", "n_chars", "main"]
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [Reader(h or "").main_text(m) for h, m in zip(part.column("_html").to_pylist(), part.column("main").to_pylist(), strict=True)]
+        columns = (part.column(c).to_pylist() for c in ("_html", "wrapper", "main"))
+        texts = [Reader(h or "").main_text(slots_of(w, m), m) for h, w, m in zip(*columns, strict=True)]
         return pa.RecordBatch.from_arrays([part.column("_id"), part.column("_url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), part.column("main")], names=names)
 
     return map_slices(rows, "_html", f"`{id_col}` {kind}, `{url_col}` string, text string, n_chars long, main string", work)
