@@ -34,7 +34,7 @@ from .common import map_slices
 #: Vocabulary of the registered queries.
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 #: Distinct pre-tokens and token pairs that a Python worker remembers; on overflow the memo starts anew.
-MEMO_PIECES, MEMO_PAIRS = 400_000, 2_000_000
+MEMO_PIECES, MEMO_PAIRS = 200_000, 500_000
 #: Pre-tokens handled at once.
 BLOCK = 1 << 16
 NONE = -1

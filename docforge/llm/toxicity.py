@@ -46,7 +46,7 @@ PASS = 0.3
 #: Words whose windows are evaluated at once.
 BLOCK = 1 << 16
 #: Distinct words that a Python worker remembers.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 
 
 def bucket_rows(word: bytes) -> tuple[int, ...]:
@@ -113,7 +113,7 @@ class Scorer:
     def _learn(self) -> None:
         n = len(self.known.rows)
         if n > self.vectors.shape[1]:
-            size = 2 * n
+            size = n + n // 4
             self.vectors, old = np.zeros((self.vectors.shape[0], size, FILTERS), np.float32), self.vectors
             self.vectors[:, : old.shape[1]] = old
             self.said, old = np.zeros((size, self.said.shape[1]), np.float32), self.said
