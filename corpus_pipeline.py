@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docforge.llm import bpe, decontam, simhash, suffix_dedup, toxicity
+from docforge.llm import bpe, decontam, jaccard, suffix_dedup, toxicity
 from docforge.llm.common import materialised, shared_dir, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -28,19 +28,19 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the row with the smallest id stays.
 
+    Groups are the connected components of the pairs whose exact Jaccard similarity is 0.8 or more; none is missed.
+
     Rows without an id come after those with one, equal rows in the order of
     the written copy.  Texts without a word are equal to each other only if
     they are the same text.
     """
-    rows = simhash.fingerprints(docs.select(*COLUMNS, F.xxhash64(F.coalesce("text", F.lit(""))).alias("_body")), "text", 5, simhash.WIDE)
-    keys = materialised(rows.select("doc_id", "_body", *simhash.WIDE))
-    copies = keys.groupBy("_body").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in simhash.WIDE))
+    rows = docs.select(*COLUMNS, F.xxhash64(F.coalesce("text", F.lit(""))).alias("_body"))
+    copies = rows.groupBy("_body").agg(F.min("doc_id").alias("doc_id"))
     # a node for each distinct text: its hash; the smallest id of a group is found after linking
-    empty = F.greatest(*(F.col(c) != 0 for c in simhash.WIDE))
-    groups = materialised(simhash.near_groups(copies.where(empty), "_body"))
+    groups = materialised(jaccard.near_groups(rows, "_body", "text", 5))
     root = copies.join(groups.select(F.col("node").alias("_body"), "root"), "_body", "left").withColumn("root", F.coalesce("root", "_body"))
     keep = root.groupBy("root").agg(F.min_by("_body", F.struct(F.col("doc_id").isNull(), "doc_id", "_body")).alias("_body"), F.min("doc_id").alias("least")).select("_body", "least")
-    kept = docs.select(*COLUMNS).withColumn("_body", F.xxhash64(F.coalesce("text", F.lit("")))).join(keep, "_body").where(F.col("doc_id").eqNullSafe(F.col("least")))
+    kept = rows.join(keep, "_body").where(F.col("doc_id").eqNullSafe(F.col("least")))
     return kept.dropDuplicates(["_body"]).select(*COLUMNS)
 
 

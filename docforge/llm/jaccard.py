@@ -1,0 +1,163 @@
+"""All pairs of texts whose sets of k-word shingles have a Jaccard similarity of 0.8 or more, as connected groups.
+
+A set is the distinct XXH64 of a text's shingles (``simhash.shingles``).  Two
+sets of a similarity of 0.8 share 0.8 of the larger one at least, so under any
+one order of all shingles their first ``prefix`` shingles have one in common:
+every text is filed under those, and no pair is missed.  The order is that of
+the hashes, with shingles found frequent in a sample last; it bears on the work
+only.
+
+Within a key all are compared with the smallest node first.  Only where that
+leaves members of a key in different components are the others compared, pair
+by pair; pairs already connected need no link.  Every link is verified on both
+whole sets, so the groups are the components of the exact relation.
+
+Edge cases: a text with fewer words than a shingle is one shingle; wordless and
+null texts have no set and are in no group.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import as_bytes, component_labels, materialised, text_slices
+from .simhash import SEED, shingles
+
+#: One node in so many is sampled; shingles of so many sampled nodes are frequent, and at most so many of them are.
+SAMPLE, FREQUENT, MOST_FREQUENT = 32, 4, 100_000
+
+
+def shingle_set(text: bytes, k: int) -> np.ndarray:
+    parts = shingles(text, k)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in parts), np.uint64, len(parts)))
+
+
+def prefix(n: int) -> int:
+    """So many shingles of a set of n: one more than a set may have outside of another similar to it."""
+    return n - (4 * n + 4) // 5 + 1 if n else 0
+
+
+def first_shingles(own: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The prefix of a sorted set; ``frequent``, which is sorted too, comes last."""
+    if len(frequent) and len(own):
+        late = frequent[np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)] == own
+        own = np.concatenate([own[~late], own[late]])
+    return own[: prefix(len(own))]
+
+
+def _by_text(df: DataFrame, node_col: str, text_col: str, schema: str, k: int, row: Callable[[np.ndarray], np.ndarray], flat: bool) -> DataFrame:
+    """Hashes of each text's set that ``row`` chooses: a row each with the set's size, or a list; a task takes a node once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for part in text_slices(batch, "_text"):
+                nodes, sizes, hashes = [], [], []
+                for node, text in zip(part.column("_node").to_pylist(), as_bytes(part.column("_text")), strict=True):
+                    if node in seen:
+                        continue
+                    seen.add(node)
+                    own = shingle_set(text, k)
+                    if len(own):
+                        nodes.append(node)
+                        sizes.append(len(own))
+                        hashes.append(row(own).view(np.int64))
+                count = np.array([len(h) for h in hashes], np.int64)
+                values = pa.array(np.concatenate(hashes) if hashes else np.empty(0, np.int64))
+                if flat:
+                    columns = [values, pa.array(np.repeat(np.array(nodes, np.int64), count)), pa.array(np.repeat(np.array(sizes, np.int32), count))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "size"])
+                else:
+                    offsets = pa.array(np.r_[0, np.cumsum(count)].astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(offsets, values)], names=["node", "shingles"])
+
+    return df.select(F.col(node_col).alias("_node"), F.col(text_col).alias("_text")).mapInArrow(run, schema)
+
+
+def _by_key(rows: DataFrame, schema: str, work: Callable[..., pa.RecordBatch | None]) -> DataFrame:
+    """``work`` over the columns of whole keys, sorted by key and node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            if not len(now[0]):
+                continue
+            cut = int(np.searchsorted(now[0], now[0][-1]))  # the last key may go on in the next batch
+            yield from work(*(x[:cut] for x in now))
+            held = [x[cut:] for x in now]
+        if held is not None:
+            yield from work(*held)
+
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, schema)
+
+
+def _shared(key: np.ndarray, node: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Members of keys that several nodes have, each with the key's smallest node and whether the sizes allow a link."""
+    if not len(key):
+        return
+    once = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
+    key, node, size = key[once], node[once], size[once]
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    count = np.diff(np.r_[start, len(key)])
+    first = np.repeat(start, count)
+    many = np.repeat(count > 1, count)
+    fits = (5 * np.minimum(size, size[first]) >= 4 * np.maximum(size, size[first])) & (node != node[first])
+    yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (key, node, size, node[first], fits)], names=["key", "node", "size", "first", "fits"])
+
+
+def _across(key: np.ndarray, node: np.ndarray, size: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs within a key of different roots and sizes that allow a link; those with the smallest node were compared before."""
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    left, right, held = [], [], 0
+    for at, end in zip(start.tolist(), np.r_[start[1:], len(key)].tolist(), strict=True):
+        order = at + 1 + np.argsort(size[at + 1 : end], kind="stable")
+        n, s, r = node[order], size[order], root[order]
+        last = np.searchsorted(4 * s, 5 * s, "right")
+        for i in range(len(n)):
+            other = n[i + 1 : last[i]][r[i + 1 : last[i]] != r[i]]
+            if len(other):
+                left.append(np.minimum(other, n[i]))
+                right.append(np.maximum(other, n[i]))
+                held += len(other)
+            if held > 1 << 16:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+                left, right, held = [], [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+
+
+def near_groups(df: DataFrame, node_col: str, text_col: str = "text", k: int = 5) -> DataFrame:
+    """``node, root`` for every node linked to another, with the smallest node of its group; ``node_col`` stands for the text."""
+    sample = _by_text(df.where(F.pmod(F.col(node_col), F.lit(SAMPLE)) == 0), node_col, text_col, "key long, node long, size int", k, lambda own: own, True)
+    often = sample.select("key", "node").distinct().groupBy("key").count().where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "key").limit(MOST_FREQUENT)
+    frequent = np.sort(np.array([r["key"] for r in often.collect()], np.int64).view(np.uint64))
+
+    keys = _by_text(df, node_col, text_col, "key long, node long, size int", k, lambda own: first_shingles(own, frequent), True)
+    shared = materialised(_by_key(keys, "key long, node long, size int, first long, fits boolean", _shared))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = materialised(pairs.distinct())
+        nodes = pairs.select(F.col("a").alias("_in")).unionByName(pairs.select(F.col("b").alias("_in"))).distinct()
+        sets = _by_text(df.join(nodes, F.col(node_col) == F.col("_in"), "left_semi"), node_col, text_col, "node long, shingles array<long>", k, lambda own: own, False)
+        sets = materialised(sets.groupBy("node").agg(F.first("shingles").alias("s")))
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("_b")), "b")
+        common, total = F.size(F.array_intersect("_a", "_b")), F.size("_a") + F.size("_b")
+        return materialised(both.where(9 * common >= 4 * total).select("a", "b"))  # common / (total - common) >= 0.8
+
+    links = verified(shared.where("fits").select(F.col("first").alias("a"), F.col("node").alias("b")))
+    labels = materialised(component_labels(links))
+    rooted = shared.select("key", "node", "size").join(labels, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    more = verified(_by_key(rooted.join(mixed, "key"), "a long, b long", _across))
+    if not more.isEmpty():
+        labels = component_labels(links.unionByName(more))
+    return labels.where("node <> root")

@@ -173,22 +173,3 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     links = near_links(rows.select("fp").distinct(), "fp", ("fp",), radius=radius)
     labels = fingerprint_components(rows, id_col, links)
     return rows.join(labels, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
-
-
-#: Of the wide fingerprint for word shingles at a Jaccard similarity of 0.8: 4 words, 12 segments of 20 bits.
-WIDE = ("fp0", "fp1", "fp2", "fp3")
-WIDE_RADIUS, WIDE_WIDTH = 42, 20
-
-
-def near_groups(rows: DataFrame, node_col: str, fp_cols: tuple[str, ...] = WIDE, radius: int = WIDE_RADIUS, width: int = WIDE_WIDTH) -> DataFrame:
-    """``node, root`` for every node that shares a group with a smaller one, by wide fingerprints.
-
-    The angle between the shingle vectors of two equally long texts with Jaccard
-    similarity J is acos(2J / (1 + J)), so J = 0.8 means 39 of 256 bits on
-    average; the radius leaves half a standard deviation.  Equal fingerprints
-    meet first, by aggregation.
-    """
-    same = materialised(rows.groupBy(*fp_cols).agg(F.min(node_col).alias("first")))
-    equal = rows.join(same, list(fp_cols)).where(F.col(node_col) != F.col("first")).select(F.col("first").alias("a"), F.col(node_col).alias("b"))
-    links = near_links(same, "first", fp_cols, radius, width)
-    return component_labels(links.unionByName(equal)).where("node <> root")

@@ -1,0 +1,42 @@
+"""Near-duplicate groups against brute force over whole shingle sets."""
+
+import random
+
+import corpus_pipeline as cp
+from docforge.llm import jaccard
+
+COLS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def words(rng, n):
+    return ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(n)]
+
+
+def planted(rng, n, low, high):
+    """A text and a copy with words changed, of a similarity within the bounds."""
+    while True:
+        a = words(rng, n)
+        b = list(a)
+        while True:
+            b[rng.randrange(n)] = "".join(rng.choice("stuvwxyz") for _ in range(6))
+            s = similarity(" ".join(a), " ".join(b))
+            if s < high:
+                break
+        if s >= low:
+            return " ".join(a), " ".join(b)
+
+
+def similarity(a, b):
+    a, b = (set(jaccard.shingle_set(t.encode(), 5).tolist()) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def kept(spark, texts):
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    return {r.doc_id for r in cp.near_duplicates(spark, spark.createDataFrame(rows, COLS), "").collect()}
+
+
+def test_no_pair_at_0_80_to_0_85_is_missed(spark):
+    rng = random.Random(11)
+    texts = [t for n in (60, 150, 400, 1200) for _ in range(15) for t in planted(rng, n, 0.8, 0.85)]
+    assert kept(spark, texts) == set(range(0, len(texts), 2))
