@@ -11,8 +11,10 @@ The model is fitted on the driver from a bounded sample of labelled rows
 characters, those with the smallest hash of their id) and only from rows whose
 crc32(id) mod 4 is not 2.  Rows of remainder 3 are kept out of the gradient
 and set the thresholds: one for each language, mapped to a score of 0.3.  The
-language of a text is itself told from its words; label, language column,
-source and id never enter a score.
+sample's share of toxic rows is not that of the data, so the thresholds are set
+by all labelled rows of remainder 3, of any length, which are scored in Spark
+and reach the driver as counts by logit.  The language of a text is itself told
+from its words; label, language column, source and id never enter a score.
 
 For scoring, the product of the embedding table and every filter tap is laid
 out once, so a text costs a gather and a sum for each word and tap; the model
@@ -20,7 +22,8 @@ has a fixed size and is broadcast.  There is no shuffle.
 
 Edge cases: null, empty or wordless texts are scored from zero features; with
 no label, or labels of one class, the score is a constant (the smoothed share
-of toxic labels); labels that are null or without an id are ignored.
+of toxic labels); without both classes at remainder 3 the sample sets the
+thresholds; labels that are null or without an id are ignored.
 """
 
 from __future__ import annotations
@@ -43,6 +46,8 @@ MAX_POSITIVE, MAX_NEGATIVE, MAX_CHARS = 1500, 2000, 40_000
 #: At least so many passes over the sample, and so many steps.
 EPOCHS, STEPS, BATCH, RATE, DROP = 4, 300, 64, 0.01, 0.2
 PASS = 0.3
+#: Logits are counted in steps of this size, up to LOGIT_LIMIT on both sides, for thresholds.
+LOGIT_STEP, LOGIT_LIMIT = 1 / 64, 60
 #: Words whose windows are evaluated at once.
 BLOCK = 1 << 16
 #: Distinct words that a Python worker remembers.
@@ -158,14 +163,19 @@ class Scorer:
             at = stop
         return np.maximum(np.where(np.isfinite(features), features, 0) + self.model.bias, 0), tongue
 
+    def logits(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Logits before any language's threshold, and the number of each text's language (0 where none is known)."""
+        features, tongue = self.maxima(texts)
+        spoken = tongue.argmax(axis=1) if self.model.languages else np.zeros(len(texts), np.int64)
+        return features @ self.model.out + self.model.shift, spoken
+
     def scores(self, texts: list[list[bytes]]) -> np.ndarray:
         model = self.model
         if model.constant is not None:
             return np.full(len(texts), model.constant)
-        features, tongue = self.maxima(texts)
-        logit = features @ model.out + model.shift
+        logit, spoken = self.logits(texts)
         if model.languages:
-            logit = logit - model.bar[tongue.argmax(axis=1)]
+            logit = logit - model.bar[spoken]
         return 1 / (1 + np.exp(-np.clip(logit.astype(np.float64) + np.log(PASS / (1 - PASS)), -60, 60)))
 
 
@@ -277,21 +287,71 @@ def threshold(logit: np.ndarray, label: np.ndarray, default: float) -> float:
     return float((value[best] + below) / 2)
 
 
+def threshold_of_counts(rows: list[tuple[float, float, int, int]], default: float) -> float:
+    """``threshold`` over (least logit, largest logit, toxic rows, all rows) of disjoint steps of logits."""
+    if not rows or not sum(r[2] for r in rows):
+        return default
+    low, high, toxic, count = (np.array(c, np.float64) for c in zip(*sorted(rows, reverse=True), strict=True))
+    best = int((2 * np.cumsum(toxic) / (np.cumsum(count) + toxic.sum())).argmax())
+    below = high[best + 1] if best + 1 < len(high) else low[best] - 1
+    return float((low[best] + below) / 2)
+
+
+def recalibrate(model: Model, kept: DataFrame) -> None:
+    """Set the thresholds anew by all rows ``_t, _y`` kept out of fitting, each counting once."""
+    shared = kept.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            for part in text_slices(batch, "_t"):
+                logit, spoken = scorer.logits([words(t) for t in as_bytes(part.column("_t"))])
+                logit = np.clip(logit.astype(np.float64), -LOGIT_LIMIT, LOGIT_LIMIT)
+                columns = [pa.array(spoken.astype(np.int32)), pa.array(np.floor(logit / LOGIT_STEP).astype(np.int32)), pa.array(logit), part.column("_y")]
+                yield pa.RecordBatch.from_arrays(columns, names=["language", "step", "logit", "y"])
+
+    scored = kept.select("_t", F.col("_y").cast("int").alias("_y")).mapInArrow(run, "language int, step int, logit double, y int")
+    counts = scored.groupBy("language", "step").agg(F.min("logit").alias("low"), F.max("logit").alias("high"), F.sum("y").alias("toxic"), F.count("*").alias("n")).collect()
+    toxic, n = sum(r["toxic"] for r in counts), sum(r["n"] for r in counts)
+    if not 0 < toxic < n:
+        return
+    steps: dict[int, list] = {}
+    for r in counts:
+        steps.setdefault(r["step"], []).append(r)
+    merged = [(min(r["low"] for r in g), max(r["high"] for r in g), sum(r["toxic"] for r in g), sum(r["n"] for r in g)) for g in steps.values()]
+    everyone = threshold_of_counts(merged, 0.0)
+    if not model.languages:
+        model.shift -= everyone
+        return
+    bars = []
+    for i in range(len(model.languages)):
+        own = [(r["low"], r["high"], r["toxic"], r["n"]) for r in counts if r["language"] == i]
+        bars.append(threshold_of_counts(own, everyone) if sum(r[2] for r in own) >= 5 else everyone)
+    model.bar = np.array(bars, np.float32)
+
+
 def remainder(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4
 
 
 def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str | None = "lang") -> Model:
-    """Fit from the bounded sample; ids are chosen first, so only their texts reach the driver."""
+    """Fit from the bounded sample, set thresholds by all labelled rows of remainder 3.
+
+    Ids of the sample are chosen first, so only their texts reach the driver.
+    """
     own = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y"), remainder(id_col).alias("_r")).where("_id is not null and _y in (0, 1) and _r <> 2").distinct()
     lang = F.col(lang_col) if lang_col and lang_col in documents.columns else F.lit(None).cast("string")
-    texts = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), lang.alias("_l")).where(F.length("_t") <= MAX_CHARS)
+    every = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), lang.alias("_l"))
+    texts = every.where(F.length("_t") <= MAX_CHARS)
     rows = []
     for label, most in ((1, MAX_POSITIVE), (0, MAX_NEGATIVE)):
         chosen = own.where(F.col("_y") == label).orderBy(F.xxhash64("_id"), "_id").limit(most)
         rows += texts.join(F.broadcast(chosen), "_id").orderBy(F.xxhash64("_id"), "_id").limit(most).collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r["_id"]).encode()), str(r["_id"])))
-    return fit([(r["_t"].encode(), r["_l"], r["_y"], r["_r"] == 3) for r in rows])
+    model = fit([(r["_t"].encode(), r["_l"], r["_y"], r["_r"] == 3) for r in rows])
+    if model.constant is None:
+        recalibrate(model, every.where(remainder("_id") == 3).join(own.where("_r = 3").select("_id", "_y"), "_id"))
+    return model
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
