@@ -46,27 +46,44 @@ MARKUP = re.compile(
     r"|</?[A-Za-z][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+NAMED = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 #: Elements that do not end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CONTAINERS = frozenset("article main section div nav header footer aside form menu dialog figure table ul ol dl body".split())
 DROPPED = frozenset("nav header footer aside form menu dialog".split())
-#: Names of parts that are no article text.
-DROPPED_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|sidebar|side|widget|header|masthead|footer|foot|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|search|share|sharing|social|related|recommend\w*|comments?|comment-?list|replies|reply|respond|disqus|complementary|navigation|contentinfo|search|dialog|skip|hidden|pagination|pager|toolbar|tags)(?:$|[\s_-])",
+#: Elements without content; they hold nothing that could be left out.
+VOID = frozenset("area base basefont br col embed frame hr img input keygen link meta param source track wbr".split())
+NEVER_OUT = VOID | frozenset("p li html head body".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that end where a sibling of these begins, if their end tag is missing.
+SIBLINGS = {"td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
+#: Words of names of parts that are no article text.
+CHROME = re.compile(
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|sidebar|side|widget|header|masthead|footer|foot|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|search|share|sharing|social|related|recommend\w*|comments?|commentlist|replies|reply|respond|disqus|complementary|contentinfo|dialog|skip|hidden|pagination|pager|toolbar|tags",
     re.I,
 )
+#: Words that may stand beside those in one name without changing what it says; any other makes it the name of something else.
+BESIDE = re.compile(
+    r"\d*|wp|block|site|page|global|main|primary|secondary|top|bottom|left|right|inner|outer|mobile|desktop|sticky|fixed|box|bar|area|section|container|wrap|wrapper|panel|holder|slot|unit|group|row|col|column|list|item|items|link|links|button|buttons|btn|icon|icons|form|posts|articles|stories|sense|google|front|css|js|widgets|menus|us|to|up",
+    re.I,
+)
+#: Parts that hold articles of their own, which are not the page's.
+COMPANION = re.compile(r"ads?|advert\w*|sponsor\w*|promo\w*|widget|related|recommend\w*|comments?|commentlist|replies|reply|respond|disqus", re.I)
 #: Longest period that folding looks for.
 PERIOD = 12
 SALTS = 32
 
 
+def _attributes(attributes: str) -> list[tuple[str, list[str]]]:
+    return [(m[1].lower(), m[2].strip("\"'").split()) for m in NAMED.finditer(attributes)] if attributes else []
+
+
 def _names(attributes: str) -> str:
-    return " ".join(m[1].strip("\"'") for m in NAMED.finditer(attributes)) if attributes else ""
+    return " ".join(n for _, names in _attributes(attributes) for n in names)
 
 
 def walk(html: str) -> Iterator[tuple[str, str, str]]:
-    """(kind, name, names) with kind text, space, open or close; text is decoded, inline markup left out."""
+    """(kind, name, attributes) with kind text, space, open or close; text is decoded, inline markup left out."""
     at = 0
     for m in MARKUP.finditer(html):
         if m.start() > at:
@@ -77,14 +94,38 @@ def walk(html: str) -> Iterator[tuple[str, str, str]]:
             if name == "br":
                 yield "space", "br", ""
             elif name not in INLINE:
-                yield ("close" if m[2] else "open"), name, "" if m[2] else _names(m[4])
+                yield ("close" if m[2] else "open"), name, "" if m[2] else m[4]
     if at < len(html):
         yield "text", unescape(html[at:]), ""
 
 
-def is_dropped(name: str, names: str, inside: bool) -> bool:
-    """Whether a container is left out; inside: within an article, whose own header holds its title."""
-    return (name in DROPPED and not (name == "header" and inside)) or bool(names and DROPPED_NAME.search(names))
+def words_of(name: str) -> list[str]:
+    return re.split(r"[-_]+", name)
+
+
+def is_chrome(name: str) -> bool:
+    """Whether a whole class, id or role names a part that is no article text: ``has-sidebar`` or ``side-effects`` does not."""
+    parts = words_of(name)
+    return any(CHROME.fullmatch(p) for p in parts) and all(CHROME.fullmatch(p) or BESIDE.fullmatch(p) for p in parts)
+
+
+def dropped_by(name: str, attributes: str, inside: bool) -> str:
+    """Why a container is left out: ``tag``, ``name``, ``companion`` (a name of a part with articles of its own) or nothing.
+
+    inside: within an article, whose own header holds its title.  A heading or
+    section is not left out for its id, which is often a slug of its title.
+    """
+    if name in NEVER_OUT:
+        return ""
+    if name in DROPPED and not (name == "header" and inside):
+        return "tag"
+    slug = name in HEADINGS or name in ("section", "article", "main")
+    found = [n for kind, names in _attributes(attributes) if not (slug and kind == "id") for n in names if is_chrome(n)]
+    if name in HEADINGS or name == "header":
+        found = [n for n in found if not any(w.lower() in ("header", "masthead", "banner") for w in words_of(n))]
+    if not found:
+        return ""
+    return "companion" if any(COMPANION.fullmatch(w) for n in found for w in words_of(n)) else "name"
 
 
 #: Mark of a container that is left out, at the end of its signature.
@@ -104,9 +145,17 @@ class Reader:
     """Tokens of a page and its blocks of text, each with the path of its containers."""
 
     def __init__(self, html: str):
+        held = self._read(html, frozenset())
+        if held and not any(rank(path, None) in (1, 2) for _, path in self.blocks):
+            self._read(html, held)  # what a name marks holds the page's only article
+
+    def _read(self, html: str, spared: frozenset[int]) -> frozenset[int]:
+        """Read the page; returns the places of elements left out by name that hold an article or <main>."""
         self.blocks: list[tuple[str, Path]] = []
         self.tokens: list[str] = []
         stack: list[str] = []
+        marks: list[tuple[int, str]] = []  # beside the stack: place of the element, why it is left out
+        held: set[int] = set()
         parts: list[str] = []
 
         def end_block() -> None:
@@ -116,7 +165,7 @@ class Reader:
                 self.tokens.append("#")
                 self.blocks.append((text, tuple(stack)))
 
-        for kind, name, names in walk(html):
+        for place, (kind, name, attributes) in enumerate(walk(html)):
             if kind == "text":
                 parts.append(name)
             elif kind == "space":
@@ -124,17 +173,26 @@ class Reader:
             else:
                 end_block()
                 if kind == "open":
+                    while stack and tag(stack[-1]) in SIBLINGS.get(name, ()):
+                        stack.pop()
+                        marks.pop()
                     inside = any(tag(s) in ("article", "main") for s in stack)
-                    out = name not in ("p", "li", "html", "body") and is_dropped(name, names, inside)
-                    token = signature(name, names, out)
+                    why = "" if place in spared else dropped_by(name, attributes, inside)
+                    if name in ("article", "main") and not why and not any(w in ("tag", "companion") for _, w in marks):
+                        held.update(p for p, w in marks if w == "name")
+                    token = signature(name, _names(attributes), bool(why))
                     self.tokens.append(f"<{token}>")
                     if opens_container(token):
                         stack.append(token)
+                        marks.append((place, why))
                 elif any(tag(s) == name for s in stack):
                     self.tokens.append(f"</{name}>")
-                    while tag(stack.pop()) != name:
-                        pass
+                    while True:
+                        marks.pop()
+                        if tag(stack.pop()) == name:
+                            break
         end_block()
+        return frozenset(held)
 
     def mass(self) -> dict[str, int]:
         """Characters of text by its innermost container, of what is not left out."""
