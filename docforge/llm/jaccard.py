@@ -9,7 +9,9 @@ only.
 
 Within a key all are compared with the smallest node first.  Only where that
 leaves members of a key in different components are the others compared, pair
-by pair; pairs already connected need no link.  Every link is verified on both
+by pair; pairs already connected need no link.  Two sketches of the parity of each
+slot differ in no more bits than the sets in shingles, so pairs whose sketches
+differ in too many need no look at the sets.  Every link is verified on both
 whole sets, so the groups are the components of the exact relation.
 
 Edge cases: a text with fewer words than a shingle is one shingle; wordless and
@@ -31,6 +33,8 @@ from .simhash import SEED, shingles
 
 #: One node in so many is sampled; shingles of so many sampled nodes are frequent, and at most so many of them are.
 SAMPLE, FREQUENT, MOST_FREQUENT = 32, 4, 100_000
+#: Words of 64 bits of a parity sketch.
+SKETCH = 16
 
 
 def shingle_set(text: bytes, k: int) -> np.ndarray:
@@ -51,6 +55,12 @@ def first_shingles(own: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return own[: prefix(len(own))]
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """Whether an odd number of the set's shingles falls into each slot, and in a last word the size of the set."""
+    odd = np.bincount((own & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.append(np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8"), np.uint64(len(own)))
+
+
 def _by_text(df: DataFrame, node_col: str, text_col: str, schema: str, k: int, row: Callable[[np.ndarray], np.ndarray], flat: bool) -> DataFrame:
     """Hashes of each text's set that ``row`` chooses: a row each with the set's size, or a list; a task takes a node once."""
 
@@ -144,12 +154,22 @@ def near_groups(df: DataFrame, node_col: str, text_col: str = "text", k: int = 5
     keys = _by_text(df, node_col, text_col, "key long, node long, size int", k, lambda own: first_shingles(own, frequent), True)
     shared = materialised(_by_key(keys, "key long, node long, size int, first long, fits boolean", _shared))
 
+    def per_node(pairs: DataFrame, row: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+        nodes = pairs.select(F.col("a").alias("_in")).unionByName(pairs.select(F.col("b").alias("_in"))).distinct()
+        lists = _by_text(df.join(nodes, F.col(node_col) == F.col("_in"), "left_semi"), node_col, text_col, "node long, shingles array<long>", k, row, False)
+        return materialised(lists.groupBy("node").agg(F.first("shingles").alias("s")))
+
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = materialised(pairs.distinct())
-        nodes = pairs.select(F.col("a").alias("_in")).unionByName(pairs.select(F.col("b").alias("_in"))).distinct()
-        sets = _by_text(df.join(nodes, F.col(node_col) == F.col("_in"), "left_semi"), node_col, text_col, "node long, shingles array<long>", k, lambda own: own, False)
-        sets = materialised(sets.groupBy("node").agg(F.first("shingles").alias("s")))
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("_b")), "b")
+        words = per_node(pairs, sketch).select("node", *(F.get("s", F.lit(i)).alias(f"w{i}") for i in range(SKETCH + 1)))
+        near = pairs
+        for side in "ab":
+            near = near.join(words.select(F.col("node").alias(side), *(F.col(f"w{i}").alias(f"{side}{i}") for i in range(SKETCH + 1))), side)
+        differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(SKETCH)), F.lit(0))
+        # a similarity of 0.8 means that a ninth of both sizes at most is not shared
+        near = materialised(near.where(9 * differ <= F.col(f"a{SKETCH}") + F.col(f"b{SKETCH}")).select("a", "b"))
+        sets = per_node(near, lambda own: own)
+        both = near.join(sets.select(F.col("node").alias("a"), F.col("s").alias("_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("_b")), "b")
         common, total = F.size(F.array_intersect("_a", "_b")), F.size("_a") + F.size("_b")
         return materialised(both.where(9 * common >= 4 * total).select("a", "b"))  # common / (total - common) >= 0.8
 
