@@ -18,9 +18,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, islice
 
 import ahocorasick
 import numpy as np
@@ -34,11 +34,17 @@ from .common import map_slices
 #: Vocabulary of the registered queries.
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 #: Distinct pre-tokens and token pairs that a Python worker remembers; on overflow the memo starts anew.
-MEMO_PIECES, MEMO_PAIRS = 200_000, 500_000
+MEMO_PIECES, MEMO_PAIRS, PAIR_BITS = 200_000, 100_000, 20
+#: Chunks of more characters are not remembered.
+KEPT_CHARS = 256
 #: Pre-tokens handled at once.
 BLOCK = 1 << 16
 NONE = -1
 SEPARATOR = "\x01"
+#: A character outside of Latin-1, which no token holds; longer pre-tokens than LONG are encoded one by one.
+FOREIGN, LONG = "\u0100", 64
+#: Chunks whose unknown ones are encoded together.
+TOGETHER = 1 << 18
 
 
 class Memo(dict):
@@ -52,13 +58,21 @@ class Memo(dict):
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
-        if len(key) <= 256:
-            if len(self) >= self.limit:
-                self.older = dict(self)
-                self.clear()
-            self[key] = value
+        self.keep(key, value)
         return value
 
+    def keep(self, key, value) -> None:
+        if len(key) <= KEPT_CHARS:
+            self.keep_all({key: value}, ())
+
+    def keep_all(self, new: dict, needed: Iterable) -> None:
+        """Keep what is new, and of an older generation what is needed now."""
+        if len(self) + len(new) > self.limit:
+            self.older = dict(self)
+            self.clear()
+            self.update((k, self.older[k]) for k in needed if k in self.older)
+        self.update(new)
+
 
 class Encoder:
     """Encoder and decoder for one rank file (ids are ranks, single bytes all present)."""
@@ -75,6 +89,7 @@ class Encoder:
         self.size = [len(x) for x in self.vocab]
         self.most = max(self.size)
         self.decimal = [b"%d" % i for i in range(size)]
+        self.single = [np.int32(i).tobytes() for i in range(size)]
         self.odd_space = regex.compile(r"[^\S \n]").search
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for token, rank in self.ranks.items():
@@ -86,6 +101,7 @@ class Encoder:
                 if (r := self.ranks.get(token[:end])) is not None:
                     self.shorter[rank] = r
                     break
+        self.sizes, self.shorter_of = np.array(self.size), np.array(self.shorter)
         self._compatible: dict[int, bool] = {}
         self.merged: dict[tuple[int, int], int] = {}
         self.halves: list[tuple[int, int]] = [(i, i) for i in range(size)]
@@ -98,6 +114,7 @@ class Encoder:
                     self.halves[rank] = (left, right)
                     break
                 left = self.shorter[left]
+        self.pair_keys, self.pair_fits = np.full(1 << PAIR_BITS, NONE), np.zeros(1 << PAIR_BITS, bool)
         self.memo = Memo(self._encode_chunk, MEMO_PIECES)
 
     def _border_holds(self, left: int, right: int) -> bool:
@@ -158,6 +175,79 @@ class Encoder:
                     token = longest(text, at)
         return out
 
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of many pre-tokens, as int32 bytes: ``encode_piece`` for all of them in step.
+
+        Each round, the automaton walks what is left of all of them in one
+        pass, always taking the longest token, and tokens are accepted up to
+        the first that does not fit its predecessor.  Its shorter prefixes are
+        tried, then those of the accepted tokens before it, latest first.  The
+        sequence of fitting tokens for the bytes before a place is unique, so a
+        place left behind is not come to again and none need be marked dead.
+        """
+        if not pieces:
+            return []
+        texts = [p.decode("latin-1") for p in pieces]
+        length = np.fromiter(map(len, texts), np.int64, len(texts))
+        stack = np.empty((len(texts), int(length.max()) + 1), np.int32)
+        stack[:, 0] = NONE
+        depth, at, lane, rest = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.arange(len(texts)), texts
+        while len(lane):
+            found = np.fromiter(chain.from_iterable(self.automaton.iter_long(FOREIGN.join(rest))), np.int64)
+            token = found[1::2]
+            start = found[::2] + 1 - self.sizes[token]
+            begin = np.cumsum(np.r_[0, length[lane] - at[lane] + 1])  # of each rest; they are parted by one character
+            first = np.searchsorted(start, begin)
+            count = np.diff(first)
+            row = np.repeat(np.arange(len(lane)), count)
+            before = np.r_[NONE, token[:-1]]
+            before[first[:-1]] = stack[lane, depth[lane]]
+            wrong = np.flatnonzero(~self.compatible_all(before, token))
+            wrong = wrong[np.r_[True, row[wrong[1:]] != row[wrong[:-1]]]] if len(wrong) else wrong  # the first of each
+            stop = first[1:].copy()
+            stop[row[wrong]] = wrong
+            nth = np.arange(len(token))
+            good = nth < stop[row]
+            nth = nth - first[row] + depth[lane][row] + 1
+            stack[lane[row[good]], nth[good]] = token[good]
+            depth[lane] += stop - first[:-1]
+            at[lane] = length[lane]
+            at[lane[row[wrong]]] -= begin[row[wrong] + 1] - 1 - start[wrong]
+            lane, now = lane[row[wrong]], token[wrong]
+            open_ = np.arange(len(lane))
+            while len(open_):
+                who, now[open_] = lane[open_], self.shorter_of[now[open_]]
+                none = now[open_] == NONE
+                back = who[none]  # no prefix fits: those of the token before come next
+                now[open_[none]] = stack[back, depth[back]]
+                at[back] -= self.sizes[now[open_[none]]]
+                depth[back] -= 1
+                some = open_[~none]
+                fits = self.compatible_all(stack[lane[some], depth[lane[some]]].astype(np.int64), now[some])
+                open_ = np.concatenate([open_[none], some[~fits]])
+            depth[lane] += 1
+            stack[lane, depth[lane]] = now
+            at[lane] += self.sizes[now]
+            lane = lane[at[lane] < length[lane]]
+            rest = [texts[k][i:] for k, i in zip(lane.tolist(), at[lane].tolist(), strict=True)]
+        flat = stack[:, 1:][np.arange(stack.shape[1] - 1) < depth[:, None]].tobytes()
+        ends = 4 * np.cumsum(depth)
+        return [flat[a:b] for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True)]
+
+    def compatible_all(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``compatible`` of many pairs; with nothing to the left all is.  What was found last for a slot is remembered."""
+        pair = np.where(left == NONE, NONE, left << 24 | right)
+        slot = (pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS)
+        fits = self.pair_fits[slot]
+        new = np.flatnonzero((self.pair_keys[slot] != pair) & (pair != NONE))
+        if len(new):
+            pairs, place = np.unique(pair[new], return_inverse=True)
+            found = np.array([self._border_holds(k >> 24, k & 0xFFFFFF) for k in pairs.tolist()], bool)
+            fits[new] = found[place]
+            self.pair_fits[slot[new]] = fits[new]
+            self.pair_keys[slot[new]] = pair[new]
+        return fits | (pair == NONE)
+
     def _longest(self, text: str, at: int) -> int:
         """The longest token that starts at a place: the deepest trie node there, or the nearest token above it."""
         part = text[at : at + self.most]
@@ -174,6 +264,30 @@ class Encoder:
             return np.array(self.encode_piece(chunk.encode()), np.int32).tobytes()
         return b"".join(map(self.memo.__getitem__, pieces))
 
+    def learn(self, blocks: list[list[str]]) -> None:
+        """Fill the memo with what it lacks of these chunks; very long ones are left to be encoded when met."""
+        memo, older = self.memo, self.memo.older
+        need: set[str] = set().union(*blocks)
+        fresh = [c for c in need if c not in memo and len(c) <= KEPT_CHARS]
+        known = {c: older[c] for c in fresh if c in older}
+        plain, mixed = [], []
+        for c in fresh:
+            if c not in known:
+                (plain if (c[1:] if c[0] == " " else c).isalpha() else mixed).append(c)
+        parts = list(map(self.pattern.findall, mixed))
+        pieces = list({*plain, *chain.from_iterable(parts)})
+        as_bytes = list(map(str.encode, pieces))
+        ranks = list(map(self.ranks.get, as_bytes))
+        ids = {p: self.single[r] for p, r in zip(pieces, ranks, strict=True) if r is not None}
+        rare = [(p, b) for p, b, r in zip(pieces, as_bytes, ranks, strict=True) if r is None]
+        short = [x for x in rare if len(x[1]) <= LONG]
+        ids.update(zip((p for p, _ in short), self.encode_pieces([b for _, b in short]), strict=True))
+        ids.update((p, np.array(self.encode_piece(b), np.int32).tobytes()) for p, b in rare if len(b) > LONG)
+        known.update((c, ids[c]) for c in plain)
+        get = ids.__getitem__
+        known.update((c, b"".join(map(get, x))) for c, x in zip(mixed, parts, strict=True))
+        memo.keep_all(known, need)
+
     def pieces(self, text: str) -> Iterator[list[str]]:
         """Pre-tokens of a text, in blocks."""
         if len(text) <= 4 * BLOCK:
@@ -197,8 +311,34 @@ class Encoder:
             yield text.replace("\n", f"{SEPARATOR}\n{SEPARATOR}").replace(" ", f"{SEPARATOR} ").split(SEPARATOR)
 
     def encode(self, text: str) -> np.ndarray:
+        return next(self.encode_many([text]))
+
+    def encode_many(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """Ids of each text, in order; what the memo lacks is encoded together for texts of TOGETHER chunks."""
         get = self.memo.__getitem__
-        return np.frombuffer(b"".join([b"".join(map(get, block)) for block in self.chunks(text)]), np.int32)
+        done: list[bytes] = []  # of the first text held, all that is encoded
+        held: list[list[str] | None] = []  # blocks of chunks; None ends a text
+        size = 0
+
+        def flush() -> Iterator[np.ndarray]:
+            self.learn([b for b in held if b])
+            for block in held:
+                if block is not None:
+                    done.append(b"".join(map(get, block)))
+                else:
+                    yield np.frombuffer(b"".join(done), np.int32)
+                    done.clear()
+            held.clear()
+
+        for text in texts:
+            for block in self.chunks(text):
+                held.append(block)
+                size += len(block)
+                if size >= TOGETHER:
+                    yield from flush()
+                    size = 0
+            held.append(None)
+        yield from flush()
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.vocab.__getitem__, ids.tolist()))
@@ -215,7 +355,7 @@ def encoder(path: str | None = None, pattern: str | None = None) -> Encoder:
 
 
 def encode_array(texts: pa.Array, enc: Encoder) -> list[np.ndarray]:
-    return [enc.encode(x or "") for x in texts.to_pylist()]
+    return list(enc.encode_many(x or "" for x in texts.to_pylist()))
 
 
 def list_array(parts: list[np.ndarray]) -> pa.ListArray:
@@ -257,8 +397,7 @@ def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         enc, n, ids_hash, text_hash = encoder(path), [], [], []
-        for text in part.column(1).to_pylist():
-            ids = enc.encode(text or "")
+        for ids in enc.encode_many(text or "" for text in part.column(1).to_pylist()):
             n.append(len(ids))
             ids_hash.append(hashlib.sha256(enc.decimals(ids)).hexdigest())
             text_hash.append(hashlib.sha256(enc.decode(ids)).hexdigest())

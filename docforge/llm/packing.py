@@ -118,8 +118,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
 
         for batch in batches:
             for part in text_slices(batch, "_text"):
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = enc.encode(text or "")
+                encoded = enc.encode_many(text or "" for text in part.column(1).to_pylist())
+                for doc, ids in zip(part.column(0).to_pylist(), encoded, strict=True):
                     if len(ids):
                         held.append((doc, ids))
                         total += len(ids)
