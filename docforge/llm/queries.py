@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import sys
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, packing, simhash, suffix_dedup, token_counts, topk, toxicity, urlfilter, wrappers
+from . import bpe, decontam, packing, simhash, stages, suffix_dedup, token_counts, topk, toxicity, urlfilter, wrappers
 from .common import table
 
 
@@ -59,13 +56,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``corpus_pipeline.run``, which stands at the top of the repository."""
-    top = str(Path(__file__).resolve().parents[2])
-    if top not in sys.path:
-        sys.path.append(top)
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filters, op2_token_packing, op3_suffix_dedup, op4_html_extraction, op5_byte_bpe, op6_decontamination, op7_token_counts, op8_simhash, op9_exact_topk, op10_toxicity, pipeline)}

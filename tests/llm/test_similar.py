@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline as cp
-from docforge.llm import jaccard
+from docforge.llm import similar
 
 COLS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -27,7 +27,7 @@ def planted(rng, n, low, high):
 
 
 def similarity(a, b):
-    a, b = (set(jaccard.shingle_set(t.encode(), 5).tolist()) for t in (a, b))
+    a, b = (set(similar.shingle_set(t.encode(), 5).tolist()) for t in (a, b))
     return len(a & b) / len(a | b)
 
 
@@ -59,7 +59,7 @@ def test_groups_are_components_of_the_exact_relation(spark):
             for _ in range(rng.randint(1, 4)):
                 v[rng.randrange(len(v))] = rng.choice("stuvwxyz") * 5
             texts.append(" ".join(v))
-    sets = [set(jaccard.shingle_set(t.encode(), 5).tolist()) for t in texts]
+    sets = [set(similar.shingle_set(t.encode(), 5).tolist()) for t in texts]
     root = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
