@@ -19,7 +19,8 @@ broadcast tables are bounded; every chunk passes over the texts and none is
 dropped.  The texts never shuffle.
 
 Edge cases: null or wordless texts have no words; an item without words is
-never found; several items may share a pattern; equal items each count.
+never found; several items may share a pattern; equal items each count; the
+windows of an item without an id count as hits, but it is not among the items.
 """
 
 from __future__ import annotations
@@ -143,11 +144,11 @@ class Matcher:
                         yield start, p
 
 
-def pattern_chunks(benchmark: DataFrame, id_col: str, text_col: str, window: int, chunk_bytes: int) -> Iterator[dict[bytes, list[str]]]:
+def pattern_chunks(benchmark: DataFrame, id_col: str, text_col: str, window: int, chunk_bytes: int) -> Iterator[dict[bytes, list[str | None]]]:
     """pattern -> item ids, in chunks of bounded size; items reach the driver one partition at a time."""
-    chunk: dict[bytes, list[str]] = defaultdict(list)
+    chunk: dict[bytes, list[str | None]] = defaultdict(list)
     size = 0
-    for row in benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null").toLocalIterator():
+    for row in benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null").toLocalIterator():
         for p in item_patterns(row.t.encode(), window):
             chunk[p].append(row.i)
             size += len(p) + 64
@@ -157,22 +158,25 @@ def pattern_chunks(benchmark: DataFrame, id_col: str, text_col: str, window: int
     yield dict(chunk)
 
 
-def _scan(part: pa.RecordBatch, matcher: Matcher, owners: dict[bytes, list[str]]) -> tuple[list[int], list[list[tuple[int, int]]], list[set[str]]]:
+def _scan(part: pa.RecordBatch, matcher: Matcher, owners: dict[bytes, list[str | None]]) -> tuple[list[int], list[list[tuple[int, int]]], list[set[str]]]:
     """Word counts, and of each row the hit word ranges and the items found."""
     texts = [words(t) for t in as_bytes(part.column("_text"))]
     counts = [len(w) for w in texts]
     joined = [b" ".join(w) for w in texts]
     starts = np.cumsum([0] + [len(j) + 2 for j in joined])  # each text stands between a space and a space
     flat = b"".join(b" %s " % j for j in joined)
+    # every word follows one space, and a text ends with one
+    spaces = np.flatnonzero(np.frombuffer(flat, np.uint8) == 32)
+    opens = np.searchsorted(spaces, starts[:-1])
     ranges: list[list[tuple[int, int]]] = [[] for _ in texts]
     items: list[set[str]] = [set() for _ in texts]
     for start, p in matcher.search(flat):
         row = int(np.searchsorted(starts, start, "right")) - 1
         if start + len(p) > starts[row + 1]:
             continue  # across two texts
-        first = flat.count(b" ", int(starts[row]), start + 1) - 1
+        first = int(np.searchsorted(spaces, start) - opens[row])
         ranges[row].append((first, first + p.count(b" ") - 1))
-        items[row].update(owners[p])
+        items[row].update(i for i in owners[p] if i is not None)
     return counts, ranges, items
 
 

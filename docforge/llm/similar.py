@@ -4,7 +4,7 @@ A wide SimHash fingerprint of every set is cut into segments.  A set is filed
 under its own value of each segment and under the Hamming ball of radius 2 over
 the segment's least certain bits, those whose sums are nearest to zero: of two
 similar sets these are the bits that differ.  What meets under a value is
-compared by 64 bits of the fingerprint and by size, then by the complete
+compared by 96 bits of the fingerprint and by size, then by the complete
 fingerprints; a pair that remains is verified on both whole sets, so the links
 are exact and only those that never meet can be missed.
 
@@ -15,9 +15,10 @@ than MISS ** 2.
 
 Within a value the first set is compared with all, then the first of those that
 are far from it, and so on: a family costs a pair for each member, not all its
-pairs.  Only where that leaves members of a value in different components are
-the others compared; pairs already connected need no link.  Of a value so many
-rows are held as are far from each other, however many meet there.
+pairs.  Where that leaves members of a value in different components, these are
+compared if they share one of their rarest shingles, as any pair at 0.8 does, so
+texts that only have a common passage in common are not compared in pairs.  Of a
+value so many rows are held as are far from each other, however many meet there.
 
 Edge cases: a text with fewer words than a shingle is one shingle; wordless and
 null texts have no set and are in no group; equal rows are one node.
@@ -26,7 +27,7 @@ null texts have no set and are in no group; equal rows are one node.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +42,11 @@ from .simhash import LOWER
 #: Least certain bits of a segment, over which its ball is laid; chance that a pair at 0.8 is missed.
 UNCERTAIN, MISS = 3, 1e-3
 #: Share of the bits that differ at a similarity of 0.8, and how many deviations above it a distance may be.
-DIFFERING, DEVIATIONS = 0.155, 4.0
-#: Bits of the first 64 that may differ.
-NEAR_64 = 21
+DIFFERING, DIFFERING_FEW, FEW, DEVIATIONS = 0.153, 0.195, 24, 3.5
+#: Words of 64 bits of a complete fingerprint, at least: so many tell 0.7 from 0.8.
+WORDS = 24
+#: Bits of the first 96 that may differ.
+NEAR_96 = 29
 #: Groups of a value up to this size are looked through for rows near no other.
 SMALL = 16
 #: Rows of one value that are taken in at once, and tasks that one set's comparisons are dealt to.
@@ -92,7 +95,7 @@ def sums(own: np.ndarray, words: int) -> np.ndarray:
 
 def fingerprinted(df: DataFrame, node_col: str, text_col: str, k: int, width: int, segments: int) -> DataFrame:
     """``node, size, weak`` and the words ``f0..`` of a fingerprint for every text with a word; weak: the uncertain bits of each segment."""
-    words = -(-segments * width // 64)
+    words = max(WORDS, -(-segments * width // 64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,7 +122,7 @@ def fingerprinted(df: DataFrame, node_col: str, text_col: str, k: int, width: in
 
 
 def filed(prints: DataFrame, width: int, segments: int) -> DataFrame:
-    """``key, node, size, print``: a row for every value of every segment under which a set is filed."""
+    """``key, node, tail, print``: a row for every value of every segment under which a set is filed."""
     words, power = len(prints.columns) - 3, 1 << np.arange(width, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,21 +136,26 @@ def filed(prints: DataFrame, width: int, segments: int) -> DataFrame:
                 weak = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(n, segments, UNCERTAIN).astype(np.int64)
                 keys = (own[:, :, None] ^ ((1 << weak) @ FLIPS.T)) | (np.arange(segments, dtype=np.int64)[None, :, None] << width)
                 each = segments * len(FLIPS)
-                node, size, first = (np.repeat(part.column(i).to_numpy(), each) for i in (0, 1, 3))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(node), pa.array(size), pa.array(first)], names=["key", "node", "size", "print"])
+                tail = part.column(1).to_numpy().astype(np.int64) << 32 | table[:, min(1, words - 1)] & 0xFFFFFFFF
+                node, tail, first = (np.repeat(x, each) for x in (part.column(0).to_numpy(), tail, table[:, 0]))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(node), pa.array(tail), pa.array(first)], names=["key", "node", "tail", "print"])
 
-    return prints.mapInArrow(run, "key long, node long, size int, print long")
+    return prints.mapInArrow(run, "key long, node long, tail long, print long")
 
 
-def may_link(size_a: np.ndarray, size_b: np.ndarray, print_a: np.ndarray, print_b: np.ndarray) -> np.ndarray:
+def may_link(tail_a: np.ndarray, tail_b: np.ndarray, print_a: np.ndarray, print_b: np.ndarray) -> np.ndarray:
+    """tail: the size above 32 more bits of the fingerprint."""
+    size_a, size_b = tail_a >> 32, tail_b >> 32
     fits = 5 * np.minimum(size_a, size_b) >= 4 * np.maximum(size_a, size_b)
-    return fits & (np.bitwise_count((print_a ^ print_b).view(np.uint64)) <= NEAR_64)
+    more = np.bitwise_count((tail_a ^ tail_b) & 0xFFFFFFFF)
+    return fits & (np.bitwise_count((print_a ^ print_b).view(np.uint64)) + more <= NEAR_96)
 
 
-def starred(key: np.ndarray, node: np.ndarray, size: np.ndarray, print_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def starred(key: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Of rows sorted by key: the place of the leader that each row is near to (-1 for none), and whether a row leads.
 
     The first row of a key leads; of those not near to it the first leads next.
+    ``near`` tells it of the places of two rows.
     """
     leader, leads, left = np.full(len(key), -1), np.zeros(len(key), bool), np.arange(len(key))
     while len(left):
@@ -155,20 +163,20 @@ def starred(key: np.ndarray, node: np.ndarray, size: np.ndarray, print_: np.ndar
         leads[left[opens]] = True
         head = left[opens][np.cumsum(opens) - 1][~opens]
         left = left[~opens]
-        near = may_link(size[left], size[head], print_[left], print_[head])
-        leader[left[near]] = head[near]
-        left = left[~near]
+        found = near(left, head)
+        leader[left[found]] = head[found]
+        left = left[~found]
     return leader, leads
 
 
-def near_some(key: np.ndarray, size: np.ndarray, print_: np.ndarray) -> np.ndarray:
+def near_some(key: np.ndarray, tail: np.ndarray, print_: np.ndarray) -> np.ndarray:
     """Whether a row may be linked to another of its key; rows of keys of more than SMALL count as such."""
     found, n = np.zeros(len(key), bool), len(key)
     for d in range(1, min(SMALL, n)):
         same = np.flatnonzero(key[d:] == key[:-d])
         if not len(same):
             break
-        near = same[may_link(size[same], size[same + d], print_[same], print_[same + d])]
+        near = same[may_link(tail[same], tail[same + d], print_[same], print_[same + d])]
         found[near] = found[near + d] = True
     if n > SMALL:
         wide = np.flatnonzero(key[SMALL:] == key[:-SMALL])
@@ -178,16 +186,16 @@ def near_some(key: np.ndarray, size: np.ndarray, print_: np.ndarray) -> np.ndarr
 
 
 def met(rows: DataFrame) -> DataFrame:
-    """``key, node, size, print, first`` of the rows that may be linked to another of their key; first: the node of a row's leader."""
+    """``key, node, tail, print, first`` of the rows that may be linked to another of their key; first: the node of a row's leader."""
 
     def solve(held: list[np.ndarray], lead: int) -> Iterator[pa.RecordBatch]:
         """lead: so many rows at the front are leaders of the same key that were given out before."""
-        key, node, size, print_ = held
-        leader, _ = starred(*held)
-        keep = near_some(key, size, print_) | (leader >= 0)
+        key, node, tail, print_ = held
+        leader, _ = starred(key, lambda i, j: may_link(tail[i], tail[j], print_[i], print_[j]))
+        keep = near_some(key, tail, print_) | (leader >= 0)
         keep[:lead] = False
         first = pa.array(node[np.maximum(leader, 0)][keep], mask=(leader < 0)[keep])
-        yield pa.RecordBatch.from_arrays([*(pa.array(x[keep]) for x in held), first], names=["key", "node", "size", "print", "first"])
+        yield pa.RecordBatch.from_arrays([*(pa.array(x[keep]) for x in held), first], names=["key", "node", "tail", "print", "first"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -207,34 +215,81 @@ def met(rows: DataFrame) -> DataFrame:
             if count - lead > HELD:  # a hot key: of what was seen of it, only the leaders are needed for what follows
                 whole = [np.concatenate(x) for x in zip(*held, strict=True)]
                 yield from solve(whole, lead)
-                _, leads = starred(*whole)
+                _, leads = starred(whole[0], lambda i, j: may_link(whole[2][i], whole[2][j], whole[3][i], whole[3][j]))
                 held = [[x[leads] for x in whole]]
                 count = lead = int(leads.sum())
         if held:
             yield from solve([np.concatenate(x) for x in zip(*held, strict=True)], lead)
 
-    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, node long, size int, print long, first long")
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, node long, tail long, print long, first long")
 
 
-def across(rows: DataFrame) -> DataFrame:
-    """``a, b`` that meet under a key, are of different roots and may be linked; rows: key, root, node, size, print."""
+def rare_first(df: DataFrame, node_col: str, text_col: str, k: int) -> DataFrame:
+    """``shingle, node, size``: of every set the shingles that it has to share one of with any set at 0.8.
 
-    def solve(root: np.ndarray, node: np.ndarray, size: np.ndarray, print_: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """One key, sorted by root."""
+    Two such sets of n and m shingles share 0.8 of the larger at least, so under
+    any one order of all shingles their first n // 5 + 1 have one in common.
+    The order is by the number of sets that hold a shingle, the rarest first: a
+    passage that many texts share is no reason to compare them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, "_text"):
+                sets = {n: shingle_set(t, k) for n, t in zip(part.column(0).to_pylist(), as_bytes(part.column(1)), strict=True)}
+                count = np.array([len(x) for x in sets.values()], np.int64)
+                every = np.concatenate([*sets.values(), np.empty(0, np.uint64)]).view(np.int64)
+                columns = [pa.array(every), pa.array(np.repeat(np.array(list(sets), np.int64), count)), pa.array(np.repeat(count, count))]
+                yield pa.RecordBatch.from_arrays(columns, names=["shingle", "node", "size"])
+
+    rows = df.select(F.col(node_col).alias("_node"), F.col(text_col).alias("_text")).mapInArrow(run, "shingle long, node long, size long").distinct()
+    often = rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    ordered = rows.join(often, "shingle", "left").groupBy("node").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "shingle"))).alias("s"))
+    first = F.slice("s", 1, F.floor(F.col("size") / 5).cast("int") + 1)
+    return ordered.select("node", "size", F.explode(F.filter(first, lambda x: x["n"] > 1)).alias("x")).select("x.shingle", "node", "size")
+
+
+def far_limit(bits: int, few: bool = False) -> int:
+    """Complete distances above it are not those of sets at 0.8; few: of sets of under FEW shingles, whose sums are often nil."""
+    share = DIFFERING_FEW if few else DIFFERING
+    return math.ceil(bits * share + DEVIATIONS * math.sqrt(bits * share * (1 - share)))
+
+
+def by_shingle(rows: DataFrame, words: int, every: bool, turn: int = 0) -> DataFrame:
+    """``a, b`` under one shingle that may be linked and are of different roots: with its leader only, or ``every`` pair.
+
+    Leaders are others in each turn.
+
+    rows: ``shingle, root, node, size`` and the words of the fingerprint, by all of which a pair has to be near.
+    """
+    limit, few = far_limit(64 * words), far_limit(64 * words, True)
+
+    def solve(root: np.ndarray, node: np.ndarray, size: np.ndarray, *prints: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """One shingle, sorted by root if every pair is wanted."""
+        print_ = np.stack(prints, axis=1).view(np.uint64)
+
+        def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            fits = 5 * np.minimum(size[i], size[j]) >= 4 * np.maximum(size[i], size[j])
+            return fits & (np.bitwise_count(print_[i] ^ print_[j]).sum(axis=1) <= np.where(np.minimum(size[i], size[j]) < FEW, few, limit))
+
+        def out(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+            i, j = i[root[i] != root[j]], j[root[i] != root[j]]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
+
+        if not every:
+            leader, _ = starred(np.zeros(len(node), np.int64), near)
+            yield out(np.flatnonzero(leader >= 0), leader[leader >= 0])
+            return
         cuts = np.flatnonzero(np.r_[True, root[1:] != root[:-1]])
         count = np.diff(np.r_[cuts, len(root)])
         most = int(count.argmax())
-        order = np.r_[np.arange(cuts[most], cuts[most] + count[most]), np.delete(np.arange(len(root)), np.s_[cuts[most] : cuts[most] + count[most]])]
-        root, node, size, print_ = (x[order] for x in (root, node, size, print_))
-        left, right, held = [], [], 0
-        for i in range(int(count[most]), len(root)):  # each outside of the largest root, with all before it
-            near = np.flatnonzero(may_link(size[:i], size[i : i + 1], print_[:i], print_[i : i + 1]) & (root[:i] != root[i]))
-            left.append(np.minimum(node[near], node[i]))
-            right.append(np.maximum(node[near], node[i]))
-            held += len(near)
-            if held > 1 << 16 or i == len(root) - 1:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
-                left, right, held = [], [], 0
+        largest = np.arange(cuts[most], cuts[most] + count[most])
+        order = np.r_[largest, np.delete(np.arange(len(root)), largest)]
+        for i in range(len(largest), len(root)):  # each outside of the largest root, with all before it
+            before = order[:i][root[order[:i]] != root[order[i]]]
+            before = before[near(before, np.full(len(before), order[i]))]
+            if len(before):
+                yield out(before, np.full(len(before), order[i]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -249,12 +304,11 @@ def across(rows: DataFrame) -> DataFrame:
         if held:
             yield from solve(*(np.concatenate(x) for x in list(zip(*held, strict=True))[1:]))
 
-    return rows.select("key", "root", "node", "size", "print").repartition("key").sortWithinPartitions("key", "root").mapInArrow(run, "a long, b long")
-
-
-def far_limit(bits: int) -> int:
-    """Complete distances above it are not those of sets at 0.8."""
-    return math.ceil(bits * DIFFERING + DEVIATIONS * math.sqrt(bits * DIFFERING * (1 - DIFFERING)))
+    several = rows.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
+    rows = rows.join(several, "shingle").select("shingle", "root", "node", "size", *(f"f{w}" for w in range(words)))
+    # with a different leader under each shingle, each round connects much of a family
+    order = ("root", "node") if every else (F.xxhash64("shingle", "node", F.lit(turn)),)
+    return rows.repartition("shingle").sortWithinPartitions("shingle", *order).mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, prints: DataFrame, df: DataFrame, node_col: str, text_col: str, k: int) -> DataFrame:
@@ -262,9 +316,9 @@ def verified(pairs: DataFrame, prints: DataFrame, df: DataFrame, node_col: str,
     words = len(prints.columns) - 3
     near = materialised(pairs.distinct())
     for side in "ab":
-        near = near.join(prints.select(F.col("node").alias(side), *(F.col(f"f{w}").alias(f"{side}{w}") for w in range(words))), side)
+        near = near.join(prints.select(F.col("node").alias(side), F.col("size").alias(f"{side}_size"), *(F.col(f"f{w}").alias(f"{side}{w}") for w in range(words))), side)
     differ = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in range(words)), F.lit(0))
-    near = materialised(near.where(differ <= far_limit(64 * words)).select("a", "b"))
+    near = materialised(near.where(differ <= F.when(F.least("a_size", "b_size") < FEW, far_limit(64 * words, True)).otherwise(far_limit(64 * words))).select("a", "b"))
     # a set is compared with its partners by as many tasks as it has partners, up to SALTS
     salted = near.select("a", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt"), F.col("b").alias("node"))
     jobs = salted.unionByName(salted.select("a", "salt", F.col("a").alias("node")).distinct())
@@ -304,11 +358,21 @@ def similar_groups(df: DataFrame, node_col: str, text_col: str = "text", k: int
     width, segments = layout(df.count())
     prints = materialised(fingerprinted(df, node_col, text_col, k, width, segments))
     seen = materialised(met(filed(prints, width, segments)))
-    links = verified(seen.where("first is not null").select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b")), prints, df, node_col, text_col, k)
+    # the smallest leader of each set: in a family it is mostly the same one
+    stars = seen.where("first is not null").groupBy("node").agg(F.min("first").alias("first"))
+    links = verified(stars.select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b")), prints, df, node_col, text_col, k)
     labels = materialised(component_labels(links))
-    rooted = seen.join(labels, "node", "left").select("key", "node", "size", "print", F.coalesce("root", "node").alias("root"))
+    # what meets and is not yet connected is compared where it shares a rare shingle
+    rooted = materialised(seen.join(labels, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
     split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    more = verified(across(rooted.join(split, "key")), prints, df, node_col, text_col, k)
-    if not more.isEmpty():
-        labels = component_labels(links.unionByName(more))
+    open_ = materialised(rooted.join(split, "key").select(F.col("node").alias("_in")).distinct())
+    words = len(prints.columns) - 3
+    rare = materialised(rare_first(df.join(open_, F.col(node_col) == F.col("_in"), "left_semi"), node_col, text_col, k).join(prints.drop("size", "weak"), "node"))
+    for turn, every in enumerate((False, False, True)):
+        # written out: a plan that joins itself under renamed columns gave wrong roots
+        now = materialised(rare.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        more = verified(by_shingle(now, words, every, turn), prints, df, node_col, text_col, k)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = materialised(component_labels(links))
     return labels.where("node <> root")

@@ -417,3 +417,37 @@ def test_blocks_of_words_join(monkeypatch):
 
 def test_every_operator_is_registered():
     assert {name.split("_")[0] for name in queries.QUERIES} == {f"op{n}" for n in range(1, 11)} | {"pipeline"}
+
+
+def test_overlaps_with_items_without_id(spark):
+    window = "one two three four five six seven eight"
+    bench = spark.createDataFrame([(None, window), (7, "four five six seven eight nine ten eleven")], "item_id long, text string")
+    rows = [(1, f"zero {window} nine ten eleven"), (2, window), (3, f"{window} {window}"), (4, "one two three"), (5, None)]
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontam.digest(decontam.find_overlaps(spark.createDataFrame(rows, "doc_id long, text string"), bench)).collect()}
+    assert got == {1: (12, 11, 1), 2: (8, 8, 0), 3: (16, 16, 0), 4: (3, 0, 0), 5: (0, 0, 0)}
+
+
+def test_similar_groups_keep_borderline_families_apart(spark):
+    """A family of texts with one common passage: groups are the components of the exact relation, however they meet."""
+    from docforge.llm import similar
+
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passage = [word() for _ in range(60)]
+    texts = []
+    for _ in range(120):
+        own = [word() for _ in range(rng.choice((8, 14, 20, 40)))]
+        texts.append(" ".join(passage + own))
+        if rng.random() < 0.4:
+            own[rng.randrange(len(own))] = word()
+            texts.append(" ".join(passage + own))
+    sets = [set(similar.shingle_set(t.encode(), 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    df = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    found = {r.node: r.root for r in similar.similar_groups(df, "node").collect()}
+    assert [found.get(i, i) for i in range(len(texts))] == root
