@@ -1,12 +1,13 @@
 """Exact top-k search by exhaustive term-at-a-time accumulation.
 
 A vector component becomes the integer ``floor(scale * x)``; a dimension is a
-term and its non-zero components are its postings.  The query set is taken in
-blocks of bounded size; a block is broadcast and meets every row once.  A task
-reads its rows in blocks, lays out the postings of each term, and for term
-after term scatters the weighted postings of the queries that hold it into a
-dense score array.  Partition selection then keeps each query's best k of the
-block, and the partial lists of all tasks merge by one ranked window.
+term and its non-zero components are its postings.  Queries and rows are dealt
+by hash into blocks of bounded size, and every block of queries meets every
+block of rows in one tile; neither is collected or broadcast.  A tile lays out
+the postings of each term of some rows at a time, and for term after term
+scatters the weighted postings of the queries that hold it into a dense score
+array.  Partition selection then keeps each query's best k of the tile, and the
+partial lists of all tiles merge by one ranked window.
 
 Scores are exact 64-bit integers; ties go to the smaller id.
 
@@ -26,8 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SCALE, K = 1024, 10
-#: Queries of one broadcast and rows of one score array.
-QUERY_BLOCK, ROW_BLOCK = 1024, 512
+#: Queries and rows of a tile, on average, and rows of one score array.
+QUERY_BLOCK, TILE_ROWS, ROW_BLOCK = 2048, 16384, 256
 
 
 def integer_vector(c: Column, scale: int = SCALE) -> Column:
@@ -66,9 +67,8 @@ def flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class QueryBlock:
     """Ids of a block of queries, and of each term the queries that hold it with their weights."""
 
-    def __init__(self, ids: list[int], vectors: list[list[int]]):
-        self.ids = np.array(ids, np.int64)
-        lists = pa.array(vectors, pa.list_(pa.int64()))
+    def __init__(self, ids: np.ndarray, lists: pa.Array):
+        self.ids = ids
         self.terms = {t: (q, w) for t, q, w in postings(*flat(lists))}
 
     def best(self, ids: np.ndarray, lists: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,40 +100,55 @@ class QueryBlock:
         return self.ids[q[keep]], ids[c[keep]], got[keep]
 
 
-def search(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, scale: int = SCALE, query_block: int = QUERY_BLOCK) -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, scale: int = SCALE, query_block: int = QUERY_BLOCK, tile_rows: int = TILE_ROWS) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the k best rows of every query."""
-    spark = rows.sparkSession
     cand, asked = prepared(rows, id_col, vec_col, scale), prepared(queries, id_col, vec_col, scale)
-    schema = "query_id long, vec_id long, score long"
+    wide, high = (max(1, -(-df.count() // most)) for df, most in ((asked, query_block), (cand, tile_rows)))
 
-    def scan(block: QueryBlock) -> DataFrame:
-        shared = spark.sparkContext.broadcast(block)
+    def dealt(own: int, other: int) -> tuple[Column, Column]:
+        """The block of a row and every block of the other side."""
+        return F.pmod(F.xxhash64("id", "v"), F.lit(own)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other - 1).cast("long")))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kept: list[tuple[np.ndarray, ...]] = []
-            for batch in batches:
-                for at in range(0, batch.num_rows, ROW_BLOCK):
-                    part = batch.slice(at, ROW_BLOCK)
-                    kept.append(shared.value.best(part.column(0).to_numpy(), part.column(1), k))
-                    if len(kept) >= 16:
-                        kept = [merge(kept, k)]
+    block, each = dealt(high, wide)
+    tiles = cand.select("id", "v", F.lit(1).alias("side"), block.alias("down"), each.alias("across"))
+    block, each = dealt(wide, high)
+    tiles = tiles.unionByName(asked.select("id", "v", F.lit(0).alias("side"), each.alias("down"), block.alias("across")))
+    tiles = tiles.select((F.col("across") * high + F.col("down")).alias("tile"), "side", "id", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, asked_of, block, kept = None, [], None, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
             if kept:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in merge(kept, k)], names=["query_id", "vec_id", "score"])
+                kept.clear()
+
+        for batch in batches:
+            at, side = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            change = np.flatnonzero((at[1:] != at[:-1]) | (side[1:] != side[:-1])) + 1
+            for start, end in zip(np.r_[0, change].tolist(), np.r_[change, len(at)].tolist(), strict=True):
+                if start == end:
+                    continue
+                if at[start] != tile:
+                    yield from flush()
+                    tile, asked_of, block = at[start], [], None
+                part = batch.slice(start, end - start)
+                if not side[start]:  # queries come first
+                    asked_of.append(part)
+                    continue
+                if block is None and asked_of:
+                    whole = pa.Table.from_batches(asked_of).combine_chunks()
+                    block = QueryBlock(whole["id"].to_numpy(), whole["v"].combine_chunks())
+                for first in range(0, part.num_rows if block else 0, ROW_BLOCK):
+                    some = part.slice(first, ROW_BLOCK)
+                    kept.append(block.best(some.column("id").to_numpy(), some.column("v"), k))
+                    if len(kept) >= 16:
+                        kept[:] = [merge(kept, k)]
+        yield from flush()
 
-        return cand.mapInArrow(run, schema)
-
-    out, ids, vectors = None, [], []
-    for row in asked.toLocalIterator():
-        ids.append(row.id)
-        vectors.append(row.v)
-        if len(ids) >= query_block:
-            part = scan(QueryBlock(ids, vectors))
-            out, ids, vectors = part if out is None else out.unionByName(part), [], []
-    if ids or out is None:
-        part = scan(QueryBlock(ids, vectors))
-        out = part if out is None else out.unionByName(part)
+    best = tiles.repartition("tile").sortWithinPartitions("tile", "side").mapInArrow(run, "query_id long, vec_id long, score long")
     ranked = F.expr("row_number() over (partition by query_id order by score desc, vec_id)")
-    return out.withColumn("rank", ranked).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.withColumn("rank", ranked).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def merge(parts: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:

@@ -361,7 +361,7 @@ def test_topk(spark, block):
     rows = [(i, [rng.choice([0.0, 0.1, -0.2, 0.5]) for _ in range(6)]) for i in range(0, 900, 7)]
     rows += [(1000, None), (1001, [0.1, None, 0.0, 0.0, 0.0, 0.0]), (1002, [float("nan")] * 6), (1100, [float("inf")] * 6), (None, [0.5] * 6), (7, rows[1][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = topk.search(df, df.where("vec_id % 100 = 0"), query_block=block).collect()
+    got = topk.search(df, df.where("vec_id % 100 = 0"), query_block=block, tile_rows=3 * block).collect()
     good = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     want = []
     for q, a in good:
