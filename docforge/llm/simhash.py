@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import as_bytes, component_labels, map_slices, materialised
 
 SEED = 42
+#: Groups above this size are cut before they are verified.
+WHOLE_GROUP = 256
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -95,6 +97,24 @@ def _spanning(node: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple[
                     yield int(node[x]), int(node[y])
 
 
+def _forest(node: np.ndarray, fps: np.ndarray, rest: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
+    """``_spanning`` for a group of any size; rest: 32 bits of each of which two within the radius differ in ``radius`` at most.
+
+    A large group is cut by each of radius + 1 parts of the rest, one of which
+    any two within the radius have in common.
+    """
+    if len(node) <= WHOLE_GROUP:
+        yield from _spanning(node, fps, radius)
+        return
+    width = 32 // (radius + 1)
+    for part in range(radius + 1):
+        value = (rest >> np.uint64(part * width)) & np.uint64((1 << width) - 1)
+        order = np.argsort(value, kind="stable")
+        for some in np.split(order, np.flatnonzero(np.diff(value[order])) + 1):
+            if len(some) > 1:
+                yield from _spanning(node[some], fps[some], radius)
+
+
 def near_links(fps: DataFrame, node_col: str, fp_cols: tuple[str, ...], radius: int = 3, width: int = 32, inner: int = 1) -> DataFrame:
     """Links ``a, b`` between nodes within ``radius`` bits, enough to connect all that are linked.
 
@@ -134,24 +154,30 @@ def near_links(fps: DataFrame, node_col: str, fp_cols: tuple[str, ...], radius:
         near = np.bitwise_count(fp[two] ^ fp[two + 1]).sum(axis=1) <= radius
         left, right = [node[two[near]]], [node[two[near] + 1]]
         for at, n in zip(start[filed & (size > 2)].tolist(), size[filed & (size > 2)].tolist(), strict=True):
-            pairs = list(_spanning(node[at : at + n], fp[at : at + n], radius))
+            own = slice(at, at + n)
+            if words == 1 and width == 32:
+                rest = fp[own, 0] >> np.uint64(0 if int(key[at]) >> width else 32)  # the other segment
+                pairs = list(_forest(node[own], fp[own], rest & low, radius))
+            else:
+                pairs = list(_spanning(node[own], fp[own], radius))
             left.append(np.array([p[0] for p in pairs], np.int64))
             right.append(np.array([p[1] for p in pairs], np.int64))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            key, probe, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            fp = np.stack([batch.column(3 + w).to_numpy().view(np.uint64) for w in range(words)], axis=1)
-            now = (key, probe, node, fp) if held is None else tuple(np.concatenate(x) for x in zip(held, (key, probe, node, fp), strict=True))
-            if not len(now[0]):
+            if not batch.num_rows:
                 continue
-            cut = int(np.searchsorted(now[0], now[0][-1]))  # the last key may go on in the next batch
-            yield links(*(x[:cut] for x in now))
-            held = tuple(x[cut:] for x in now)
-        if held is not None:
-            yield links(*held)
+            key, probe, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            now = (key, probe, node, np.stack([batch.column(3 + w).to_numpy().view(np.uint64) for w in range(words)], axis=1))
+            cut = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
+            if cut or held and held[-1][0][-1] != key[0]:
+                yield links(*(np.concatenate(x) for x in zip(*held, tuple(x[:cut] for x in now), strict=True)))
+                held = []
+            held.append(tuple(x[cut:] for x in now))
+        if held:
+            yield links(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     schema = "key long, probe boolean, node long, " + ", ".join(f"{n} long" for n in names)
     filed = fps.select(F.col(node_col).cast("long").alias("node"), *(F.col(c).cast("long").alias(n) for c, n in zip(fp_cols, names, strict=True))).mapInArrow(file, schema)

@@ -451,3 +451,23 @@ def test_similar_groups_keep_borderline_families_apart(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
     found = {r.node: r.root for r in similar.similar_groups(df, "node").collect()}
     assert [found.get(i, i) for i in range(len(texts))] == root
+
+
+def test_forest_of_a_large_group():
+    rng = np.random.default_rng(4)
+    for radius in (1, 3):
+        rest = rng.integers(0, 1 << 32, 400, dtype=np.uint64)
+        for i in range(200, 400):  # chains of near neighbours
+            rest[i] = rest[rng.integers(0, i)] ^ np.uint64(sum(1 << int(b) for b in rng.choice(32, radius, replace=False)))
+        fps = (rest << np.uint64(32) | np.uint64(7))[:, None]
+        node = np.arange(400)
+
+        def roots(links):
+            root = list(range(400))
+            for x, y in links:
+                a, b = sorted((root[x], root[y]))
+                root = [a if r == b else r for r in root]
+            return root
+
+        assert len(node) > simhash.WHOLE_GROUP
+        assert roots(simhash._forest(node, fps, rest, radius)) == roots(simhash._spanning(node, fps, radius))
