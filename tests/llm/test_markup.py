@@ -9,7 +9,7 @@ WHOLE = "Title Whole text of the article."
 
 
 def text(html):
-    return wrappers.Reader(html).main_text({}, None)
+    return wrappers.Reader(html).main_text(frozenset(), None)
 
 
 @pytest.mark.parametrize(

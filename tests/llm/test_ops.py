@@ -189,11 +189,34 @@ def test_extraction(spark):
 
 
 def test_wrapper_inference():
-    e = lambda s: wrappers.expression(s.split())
+    def e(s, pages=1):  # a word beside tags is a text
+        return wrappers.folded([[t] if t[0] == "<" else ["#", [None if t == "#" else t, pages]] for t in s.split()])
+
+    def both(a, b):
+        return wrappers.rendered(wrappers.aligned(e(a), e(b)))
+
     assert wrappers.rendered(e("<a> # <p> # <p> # <p> #")) == "<a> ( # <p> )+ #"
-    both = wrappers.aligned(e("<a> <h> # </a>"), e("<a> # <p> # <p> # </a>"))
-    assert "?" in wrappers.rendered(both) and wrappers.aligned(both, e("<a> <h> # </a>"))
-    assert wrappers.rendered(wrappers.aligned(e("<u> <l> # </u>"), e("<u> <l> # <l> # </u>"))) == "<u> ( <l> # )+ </u>"
+    assert both("<u> x </u>", "<u> x </u>") == "<u> = </u>" and both("<u> x </u>", "<u> y </u>") == "<u> # </u>"
+    assert both("<a> top </a> <b> x </b>", "<a> top </a> <h> t </h> <b> y </b>") == "<a> = </a> ( <h> = </h> )? <b> # </b>"
+    assert both("<u> <l> # </u>", "<u> <l> # <l> # </u>") == "<u> ( <l> # )+ </u>"
+    met = wrappers.aligned(e("<a> top </a> <b> x </b>", 2), e("<a> top </a> <b> y </b>", 3))
+    assert list(wrappers.slots_of(met)) == [((), ["top", 5]), ((), [None, 5])]
+
+
+def test_wrapper_decides(spark):
+    """Unnamed parts: only the wrapper tells the template's texts, lists of them and optional ones included, from content."""
+    def page(i):
+        odd = "<div>Winter sale</div>" if i % 2 else ""
+        return f"<body><div>Acme daily</div><ul><li>News<li>Sport</ul>{odd}<div><h2>Title {i}</h2>" + "".join(f"<p>Text {i} {j}" for j in range(1 + i % 3)) + "</div><div>All rights reserved</div></body>"
+
+    rows = [(i, "http://a.org/x", page(i)) for i in range(12)] + [(20, "http://b.org/", page(0)), (21, "http://b.org/", page(0)), (22, "http://b.org/", page(0))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.extract(pages).collect()}
+    for i in range(12):
+        assert got[i] == " ".join([f"Title {i}", *(f"Text {i} {j}" for j in range(1 + i % 3))])
+        assert got[i] != wrappers.Reader(page(i)).main_text(frozenset(), "div")
+    whole = "Acme daily Title 0 Text 0 0 All rights reserved"
+    assert got[20] == got[21] == got[22] == whole  # copies of one page show no template
 
 
 # 5
