@@ -13,17 +13,17 @@ than a bounded part of the suffixes:
 2. Rows are dealt by probe hash.  A probe seen once holds no repeat.  Where all
    occurrences have one context, all its strings repeat.
 3. The distinct contexts of other probes are fetched from their texts.  For a
-   class of them, suffixes (from the anchor on, in blocks of ``BLOCK`` bytes)
-   are sorted by the grouping construction of ``suffix_array``.  The longest
-   common prefix with its neighbours bounds, for each context, which of its
-   strings can repeat; those are confirmed by comparing the hashes of whole
-   strings at equal offsets.  A class with more than ``CLASS_LIMIT`` distinct
-   contexts is split: its strings are counted one by one through a shuffle.
+   class of them, suffixes in blocks of ``BLOCK`` bytes, counted from the anchor,
+   are sorted by the grouping construction of ``suffix_array``.  Strings whose
+   blocks are a common prefix of neighbours in this order, at one place from the
+   anchor, repeat if the bytes at their ends are equal too.  Blocks and ends are
+   compared as bytes.  A class with more than ``CLASS_LIMIT`` distinct contexts
+   is split: its strings are counted one by one through a shuffle, by 64-bit hash.
 4. What repeats goes back to the texts by their content hash, and each text is
    cut once.
 
-Strings are judged on the input.  Hashes are 64 bits; shuffled texts are
-compressed.
+Strings are judged on the input.  Places are of one context if both probe and
+context agree by 64-bit hash; shuffled texts are compressed.
 
 Edge cases: null and empty texts have zero bytes and lose none; texts shorter
 than ``length`` lose none; overlapping occurrences within a text count; equal
@@ -59,7 +59,7 @@ FACTOR = 0x9E3779B97F4A7C15
 
 @lru_cache(maxsize=1)
 def _powers() -> tuple[np.ndarray, np.ndarray]:
-    n = max(2 * PART + 4 * LENGTH, max(CLASS_LIMIT, SORT_RUN) * (LENGTH + WINDOW))
+    n = 2 * PART + 4 * LENGTH
     up, down = np.full(n, FACTOR, np.uint64), np.full(n, pow(FACTOR, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
@@ -133,42 +133,80 @@ def text_anchors(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray,
         yield part(group)
 
 
-def repeats_in(probe: np.ndarray, many: np.ndarray, offset: np.ndarray, strings: np.ndarray, contexts: list[bytes], length: int) -> list[np.ndarray]:
-    """Which strings of each context repeat, as a mask over its starts; contexts come class by class."""
-    begin = np.cumsum([0] + [len(c) for c in contexts])[:-1]
-    hashes = Prefixes(np.frombuffer(b"".join(contexts), np.uint8))
-    blocks = (strings + length - offset) // BLOCK + 1
-    row = np.repeat(np.arange(len(contexts)), blocks)
-    nth = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    symbol = np.where(nth == 0, probe[row], hashes.of(begin[row] + offset[row] + (np.maximum(nth, 1) - 1) * BLOCK, BLOCK))
-    ranks = np.unique(symbol, return_inverse=True)[1] + 1
-    width = int(blocks.max()) + 1
-    grid = np.zeros((len(contexts), width), np.int64)  # a last zero parts one context from the next
-    grid[row, nth] = ranks
-    flat_at = np.cumsum(np.r_[0, blocks[:-1] + 1])
-    flat = np.zeros(int(flat_at[-1] + blocks[-1] + 1), np.int64)
-    flat[flat_at[row] + nth] = ranks
-    owner = np.full(len(flat), -1, np.int64)
-    owner[flat_at] = np.arange(len(contexts))
-    order = owner[np.array(suffix_array(flat), np.int64)]
-    order = order[order >= 0]
-    same = np.logical_and.accumulate((grid[order[1:]] == grid[order[:-1]]) & (grid[order[1:]] > 0), axis=1).sum(axis=1)
-    common = np.zeros(len(contexts), np.int64)
-    np.maximum.at(common, order[1:], same)
-    np.maximum.at(common, order[:-1], same)
-    # a string at distance d before the anchor needs length - d common bytes from the anchor on
-    least = length - (common * BLOCK + BLOCK - 1)
+def block_order(blocks: np.ndarray, begin: np.ndarray, deepest: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix order of sequences of blocks: (suffixes in order, blocks that each has in common with the next).
+
+    blocks: BLOCK bytes a row, sequence after sequence; begin: first row of each.
+    A zero parts each sequence from the next, so the suffix of row r of sequence
+    s is at r + s; common blocks are counted up to ``deepest`` and never past it.
+    """
+    symbols = np.unique(np.ascontiguousarray(blocks).view(f"V{BLOCK}").ravel(), return_inverse=True)[1] + 1
+    row = np.arange(len(blocks))
+    flat = np.zeros(len(blocks) + len(begin) + deepest, np.int64)
+    flat[row + np.searchsorted(begin, row, "right") - 1] = symbols
+    order = np.array(suffix_array(flat[: len(blocks) + len(begin)]), np.int64)
+    common, going = np.zeros(len(order), np.int64), np.ones(len(order) - 1, bool)
+    for depth in range(deepest):
+        here = flat[order + depth]
+        going = going & (here[1:] == here[:-1]) & (here[1:] > 0)
+        common[:-1] += going
+    return order, common
+
+
+def repeats_in(many: np.ndarray, offset: np.ndarray, strings: np.ndarray, contexts: list[bytes], length: int) -> list[np.ndarray]:
+    """Which strings of each context repeat, as a mask over its starts; contexts of whole classes.
+
+    Contexts are cut into blocks from the anchor on, forwards and backwards.  A
+    string is the whole blocks in it and less than a block at either end.  Its
+    blocks begin a suffix, and strings with the same ones are neighbours in the
+    suffix order; among these the bytes at the ends are compared.
+    """
+    data = np.frombuffer(b"".join(contexts), np.uint8)
+    at = np.cumsum([0] + [len(c) for c in contexts])[:-1]
+    before, after = offset // BLOCK, (strings + length - offset) // BLOCK
+    begin = np.cumsum(before + after) - (before + after)
+    row = np.repeat(np.arange(len(contexts)), before + after)
+    first = (at + offset - before * BLOCK)[row] + (np.arange(len(row)) - begin[row]) * BLOCK
+    order, common = block_order(data[first[:, None] + np.arange(BLOCK)], begin, length // BLOCK)
+
     count = strings + 1
     row = np.repeat(np.arange(len(contexts)), count)
     start = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     distance = offset[row] - start
     hit = many[row] > 1
-    open_ = np.flatnonzero(~hit & (distance >= least[row]) | hit & (distance >= least[row]))
-    value = mix(hashes.of(begin[row[open_]] + start[open_], length) ^ mix(probe[row[open_]] + distance[open_].astype(np.uint64)))
+    back = distance // BLOCK
+    whole = back + (length - distance) // BLOCK
+    suffix = begin[row] + row + before[row] - back
+    run = np.empty(len(row), np.int64)  # strings of one number of blocks have the same ones where their run is the same
+    for size in np.unique(whole):
+        runs = np.empty(len(order), np.int64)
+        runs[order] = np.cumsum(np.r_[0, common[:-1] < size])
+        run[whole == size] = runs[suffix[whole == size]]
+    key = run * 2 * length + distance
+    key_of, crowd = np.unique(key, return_inverse=True, return_counts=True)[1:]
+    open_ = np.flatnonzero(crowd[key_of] > 1)
+    left = at[row[open_]] + start[open_]
+    ends = np.zeros((len(open_), 2 * BLOCK), np.uint8)
+    for e in range(BLOCK):  # bytes before the first and after the last whole block
+        has = distance[open_] % BLOCK > e
+        ends[has, e] = data[left[has] + e]
+        has = (length - distance[open_]) % BLOCK > e
+        ends[has, BLOCK + e] = data[left[has] + length - 1 - e]
+    words = np.ascontiguousarray(ends).view(np.uint64)
+    value = mix(key[open_].astype(np.uint64))
+    for w in range(words.shape[1]):
+        value = mix(value ^ words[:, w])
     ordered = np.argsort(value)
-    equal = value[ordered][1:] == value[ordered][:-1]
-    hit[open_[ordered[1:][equal]]] = True
-    hit[open_[ordered[:-1][equal]]] = True
+    a, b = ordered[1:], ordered[:-1]
+    equal = value[a] == value[b]
+    same = equal & (key[open_[a]] == key[open_[b]]) & (words[a] == words[b]).all(axis=1)
+    hit[open_[a[same]]] = True
+    hit[open_[b[same]]] = True
+    if (equal & ~same).any():  # different strings of one hash may part equal ones
+        mixed = np.flatnonzero(np.isin(value, value[a[equal & ~same]]))
+        told = [(int(key[open_[i]]), ends[i].tobytes()) for i in mixed]
+        seen = Counter(told)
+        hit[open_[[i for i, t in zip(mixed, told, strict=True) if seen[t] > 1]]] = True
     return np.split(hit, np.cumsum(count)[:-1])
 
 
@@ -255,7 +293,7 @@ def _sorted_classes(cuts: DataFrame, length: int) -> DataFrame:
 
     def solve(part: pa.RecordBatch) -> pa.RecordBatch:
         shape = part.column("shape").to_numpy()
-        masks = repeats_in(part.column("probe").to_numpy().view(np.uint64), part.column("n").to_numpy(), shape % 256, shape // 256, part.column("bytes").to_pylist(), length)
+        masks = repeats_in(part.column("n").to_numpy(), shape % 256, shape // 256, part.column("bytes").to_pylist(), length)
         keep = [i for i, m in enumerate(masks) if m.any()]
         return pa.RecordBatch.from_arrays([part.column("probe").take(pa.array(keep, pa.int64())), part.column("context").take(pa.array(keep, pa.int64())), _runs_array([masks[i] for i in keep])], names=["probe", "context", "runs"])
 

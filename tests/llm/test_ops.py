@@ -134,6 +134,34 @@ def test_suffix_array():
         assert suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
+def test_repeats_come_from_the_suffix_order(monkeypatch):
+    """Contexts of one anchor against every pair of strings at one distance; a wrong order or blind ends lose or add repeats."""
+    rng, length = np.random.default_rng(3), 200
+    for least in range(6):
+        base = rng.integers(97, 99, 341).astype(np.uint8)
+        offset, strings, contexts = [], [], []
+        for _ in range(40):
+            body = base.copy()
+            body[rng.integers(0, 140, least)] ^= 3  # left of the anchor
+            body[rng.integers(200, 341, least)] ^= 3  # right of its probe
+            first, last = sorted(rng.integers(0, 141, 2).tolist())
+            contexts.append(body[first : last + length].tobytes())
+            offset.append(140 - first)
+            strings.append(last - first)
+        offset, strings = np.array(offset), np.array(strings)
+        many = np.where(rng.random(40) < 0.1, 2, 1)
+        where = Counter((d, c[o - d : o - d + length]) for o, n, c in zip(offset, strings, contexts, strict=True) for d in range(o - n, o + 1))
+        want = [[m > 1 or where[o - i, c[i : i + length]] > 1 for i in range(n + 1)] for m, o, n, c in zip(many, offset, strings, contexts, strict=True)]
+        args = (many, offset, strings, contexts, length)
+        assert [m.tolist() for m in suffix_dedup.repeats_in(*args)] == want
+        with monkeypatch.context() as patch:  # all strings of one hash: bytes decide
+            patch.setattr(suffix_dedup, "mix", lambda h: h * np.uint64(0))
+            assert [m.tolist() for m in suffix_dedup.repeats_in(*args)] == want
+        with monkeypatch.context() as patch:
+            patch.setattr(suffix_dedup, "suffix_array", lambda s: rng.permutation(len(s)))
+            assert least > 2 or [m.tolist() for m in suffix_dedup.repeats_in(*args)] != want
+
+
 def removed_by_force(texts, length=200):
     where = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     out = []
