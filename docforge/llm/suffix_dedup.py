@@ -10,7 +10,7 @@ than a bounded part of the suffixes:
    Texts are read once; each anchor leaves a row with the hash of its probe,
    the hash of its context (all bytes of the strings that chose it) and its
    place.  Copies within a slice are counted, not repeated.
-2. Rows are dealt by probe hash.  A probe seen once holds no repeat.  Where all
+2. Rows are dealt by probe hash, those of hot probes by all columns.  A probe seen once holds no repeat.  Where all
    occurrences have one context, all its strings repeat.
 3. The distinct contexts of other probes are fetched from their texts.  For a
    class of them, suffixes in blocks of ``BLOCK`` bytes, counted from the anchor,
@@ -54,6 +54,8 @@ BLOCK = 20
 PART = 1 << 20
 #: Distinct contexts of one probe that a task sorts; contexts of a run of suffix sorting.
 CLASS_LIMIT, SORT_RUN = 8_000, 5_000
+#: A probe of more than one row in HOT_PARTS is hot.
+HOT_PARTS = 1000
 FACTOR = 0x9E3779B97F4A7C15
 
 
@@ -233,6 +235,28 @@ def _compressed(df: DataFrame, text_col: str) -> DataFrame:
     return df.select("text_key", F.col(text_col).alias("_text")).mapInArrow(run, "text_key long, body binary")
 
 
+def _repeated_probes(found: DataFrame) -> DataFrame:
+    """``found`` without probes that occur once; equal rows as one with ``n`` added up, and ``mixed``: the probe has several contexts.
+
+    Rows are dealt by probe in one exchange.  Probes that hold more than one row
+    in HOT_PARTS are fewer than HOT_PARTS; their rows are dealt by all columns
+    and meet what is known of the probe by broadcast.
+    """
+    most = found.count() / HOT_PARTS
+    bucket = F.pmod("probe", F.lit(64 * HOT_PARTS))
+    crowded = found.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("c")).where(F.col("c") > most).select("bucket")
+    hot = found.select("probe").join(F.broadcast(crowded), bucket == F.col("bucket"), "left_semi")
+    hot = materialised(hot.groupBy("probe").agg(F.count("*").alias("c")).where(F.col("c") > most).select("probe"))
+
+    def with_totals(dealt: DataFrame, few: bool) -> DataFrame:
+        dealt = dealt.groupBy("probe", "context", "text_key", "place").agg(F.sum("n").alias("n"))
+        probes = dealt.groupBy("probe").agg(F.sum("n").alias("total"), (F.min("context") != F.max("context")).alias("mixed")).where("total > 1").select("probe", "mixed")
+        return dealt.join(F.broadcast(probes) if few else probes, "probe")
+
+    cold = with_totals(found.join(F.broadcast(hot), "probe", "left_anti").repartition("probe"), False)
+    return materialised(cold.unionByName(with_totals(found.join(F.broadcast(hot), "probe", "left_semi"), True)))
+
+
 def repeated_ranges(df: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """``text_key, ranges``: for the content hash of a text, the (first, last) starts of its repeated strings."""
     texts = df.select(text_key(text_col).alias("text_key"), F.col(text_col).alias("_t")).where(F.octet_length("_t") >= length)
@@ -249,10 +273,7 @@ def repeated_ranges(df: DataFrame, text_col: str = "text", length: int = LENGTH)
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["probe", "context", "text_key", "place", "n"])
 
     found = texts.select("text_key", F.col("_t").alias("_text")).mapInArrow(find, "probe long, context long, text_key long, place long, n long")
-    # one exchange; what follows is aggregated and joined by probe within it
-    dealt = found.repartition("probe").groupBy("probe", "context", "text_key", "place").agg(F.sum("n").alias("n"))
-    probes = dealt.groupBy("probe").agg(F.sum("n").alias("total"), (F.min("context") != F.max("context")).alias("mixed")).where("total > 1")
-    seen = materialised(dealt.join(probes.select("probe", "mixed"), "probe"))
+    seen = _repeated_probes(materialised(found))
     place = F.col("place")
     first, strings = F.floor(place / 65536), F.floor(place / 256) % 256
     whole = seen.where("not mixed").select("text_key", F.array(F.struct(first.alias("first"), (first + strings).alias("last"))).alias("ranges"))

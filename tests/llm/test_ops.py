@@ -177,9 +177,10 @@ def removed_by_force(texts, length=200):
     return out
 
 
-@pytest.mark.parametrize("limit", [8_000, 2])
-def test_repeated_strings(spark, odd, monkeypatch, limit):
+@pytest.mark.parametrize(("limit", "hot_parts"), [(8_000, 1000), (8_000, 2), (2, 2)])
+def test_repeated_strings(spark, odd, monkeypatch, limit, hot_parts):
     monkeypatch.setattr(suffix_dedup, "CLASS_LIMIT", limit)
+    monkeypatch.setattr(suffix_dedup, "HOT_PARTS", hot_parts)
     rng = random.Random(4)
     base = ["".join(rng.choice("ab é") for _ in range(rng.randint(150, 500))) for _ in range(6)]
     rows = list(ODD)
