@@ -239,22 +239,27 @@ def _repeated_probes(found: DataFrame) -> DataFrame:
     """``found`` without probes that occur once; equal rows as one with ``n`` added up, and ``mixed``: the probe has several contexts.
 
     Rows are dealt by probe in one exchange.  Probes that hold more than one row
-    in HOT_PARTS are fewer than HOT_PARTS; their rows are dealt by all columns
-    and meet what is known of the probe by broadcast.
+    in HOT_PARTS are fewer than HOT_PARTS, so they are named in the plan; their
+    rows are dealt by all columns and stay where they are from then on.
     """
     most = found.count() / HOT_PARTS
     bucket = F.pmod("probe", F.lit(64 * HOT_PARTS))
-    crowded = found.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("c")).where(F.col("c") > most).select("bucket")
-    hot = found.select("probe").join(F.broadcast(crowded), bucket == F.col("bucket"), "left_semi")
-    hot = materialised(hot.groupBy("probe").agg(F.count("*").alias("c")).where(F.col("c") > most).select("probe"))
 
-    def with_totals(dealt: DataFrame, few: bool) -> DataFrame:
-        dealt = dealt.groupBy("probe", "context", "text_key", "place").agg(F.sum("n").alias("n"))
-        probes = dealt.groupBy("probe").agg(F.sum("n").alias("total"), (F.min("context") != F.max("context")).alias("mixed")).where("total > 1").select("probe", "mixed")
-        return dealt.join(F.broadcast(probes) if few else probes, "probe")
+    def above(rows: DataFrame, key: Column) -> list[int]:
+        return [r[0] for r in rows.groupBy(key.alias("key")).agg(F.count("*").alias("c")).where(F.col("c") > most).select("key").collect()]
 
-    cold = with_totals(found.join(F.broadcast(hot), "probe", "left_anti").repartition("probe"), False)
-    return materialised(cold.unionByName(with_totals(found.join(F.broadcast(hot), "probe", "left_semi"), True)))
+    is_hot = F.col("probe").isin(above(found.where(bucket.isin(above(found, bucket))), F.col("probe")))
+
+    def dealt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        rows = rows.groupBy("probe", "context", "text_key", "place").agg(F.sum("n").alias("n"))
+        probes = rows.groupBy("probe").agg(F.sum("n").alias("total"), (F.min("context") != F.max("context")).alias("mixed")).where("total > 1")
+        return rows, probes.select("probe", "mixed")
+
+    hot, known = dealt(found.where(is_hot))
+    known = known.collect()
+    hot = hot.where(F.col("probe").isin([r.probe for r in known])).withColumn("mixed", F.col("probe").isin([r.probe for r in known if r.mixed]))
+    cold, probes = dealt(found.where(~is_hot).repartition("probe"))
+    return materialised(cold.join(probes, "probe").unionByName(hot))
 
 
 def repeated_ranges(df: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
