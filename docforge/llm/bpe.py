@@ -29,7 +29,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_slices
+from .common import CACHES, map_slices
 
 #: Vocabulary of the registered queries.
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -354,6 +354,9 @@ def encoder(path: str | None = None, pattern: str | None = None) -> Encoder:
     return Encoder(path or public_tokenizers.path(RANK_FILE), pattern or public_tokenizers.PATTERN)
 
 
+CACHES.append(encoder.cache_clear)
+
+
 def encode_array(texts: pa.Array, enc: Encoder) -> list[np.ndarray]:
     return list(enc.encode_many(x or "" for x in texts.to_pylist()))
 

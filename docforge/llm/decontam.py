@@ -158,9 +158,9 @@ def pattern_chunks(benchmark: DataFrame, id_col: str, text_col: str, window: int
     yield dict(chunk)
 
 
-def _scan(part: pa.RecordBatch, matcher: Matcher, owners: dict[bytes, list[str | None]]) -> tuple[list[int], list[list[tuple[int, int]]], list[set[str]]]:
+def _scan(column: pa.Array, matcher: Matcher, owners: dict[bytes, list[str | None]]) -> tuple[list[int], list[list[tuple[int, int]]], list[set[str]]]:
     """Word counts, and of each row the hit word ranges and the items found."""
-    texts = [words(t) for t in as_bytes(part.column("_text"))]
+    texts = [words(t) for t in as_bytes(column)]
     counts = [len(w) for w in texts]
     joined = [b" ".join(w) for w in texts]
     starts = np.cumsum([0] + [len(j) + 2 for j in joined])  # each text stands between a space and a space
@@ -189,14 +189,15 @@ def find_overlaps(df: DataFrame, benchmark: DataFrame, text_col: str = "text", i
     own = [c for c in df.columns if c not in ("n_words", "hits", "items")]
     out = df.select(*own, F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"))
     sc, schema = df.sparkSession.sparkContext, out.schema
+    sent = text_col if text_col in own else "_text"  # a text is sent once
     for k, chunk in enumerate(pattern_chunks(benchmark, item_id, item_text, window, chunk_bytes)):
         shared = sc.broadcast((Matcher(list(chunk)), chunk))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             matcher, owners = shared.value
             for batch in batches:
-                for part in text_slices(batch, "_text"):
-                    counts, ranges, items = _scan(part, matcher, owners)
+                for part in text_slices(batch, sent):
+                    counts, ranges, items = _scan(part.column(sent), matcher, owners)
                     before = part.column("hits").to_pylist()
                     known = part.column("items").to_pylist()
                     hits = [[*a, *({"start": x, "end": y} for x, y in dict.fromkeys(b))] for a, b in zip(before, ranges, strict=True)]
@@ -204,7 +205,8 @@ def find_overlaps(df: DataFrame, benchmark: DataFrame, text_col: str = "text", i
                     kept = [part.column(c) for c in own]
                     yield pa.RecordBatch.from_arrays([*kept, pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(both, pa.list_(pa.string()))], names=[*own, "n_words", "hits", "items"])
 
-        out = (materialised(out) if k else out).withColumn("_text", F.col(text_col)).mapInArrow(run, schema)
+        rows = materialised(out) if k else out
+        out = (rows if sent == text_col else rows.withColumn("_text", F.col(text_col))).mapInArrow(run, schema)
     return out
 
 

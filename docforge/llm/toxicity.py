@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, text_slices
+from .common import as_bytes, let_go, text_slices
 from .decontam import words
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 16, 8, (1, 2, 3)
@@ -50,6 +50,8 @@ PASS = 0.3
 LOGIT_STEP, LOGIT_LIMIT = 1 / 64, 60
 #: Words whose windows are evaluated at once.
 BLOCK = 1 << 16
+#: Bytes of text whose words are held at once.
+SCORED_BYTES = 1 << 20
 #: Distinct words that a Python worker remembers.
 MEMO_WORDS = 150_000
 
@@ -302,9 +304,10 @@ def recalibrate(model: Model, kept: DataFrame) -> None:
     shared = kept.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         scorer = Scorer(shared.value)
         for batch in batches:
-            for part in text_slices(batch, "_t"):
+            for part in text_slices(batch, "_t", SCORED_BYTES):
                 logit, spoken = scorer.logits([words(t) for t in as_bytes(part.column("_t"))])
                 logit = np.clip(logit.astype(np.float64), -LOGIT_LIMIT, LOGIT_LIMIT)
                 columns = [pa.array(spoken.astype(np.int32)), pa.array(np.floor(logit / LOGIT_STEP).astype(np.int32)), pa.array(logit), part.column("_y")]
@@ -357,14 +360,17 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """All columns of ``df`` and ``score`` (a column of that name is replaced)."""
     own = [c for c in df.columns if c not in ("score", "_text")]
+    sent = text_col if text_col in own else "_text"  # a text is sent once
     schema = df.select(*own, F.lit(0.0).alias("score")).schema
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         scorer = Scorer(shared.value)
         for batch in batches:
-            for part in text_slices(batch, "_text"):
-                got = scorer.scores([words(t) for t in as_bytes(part.column("_text"))])
+            for part in text_slices(batch, sent, SCORED_BYTES):
+                got = scorer.scores([words(t) for t in as_bytes(part.column(sent))])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array(got, pa.float64())], names=[*own, "score"])
 
-    return df.select(*own, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    rows = df.select(*own) if sent == text_col else df.select(*own, F.col(text_col).alias("_text"))
+    return rows.mapInArrow(run, schema)
