@@ -8,7 +8,9 @@ falls back to shorter prefixes or to the previous position when none is.  Two
 adjacent tokens are compatible when the merge order of BPE would not have
 joined bytes across their border; that test is memoised.  A position once found
 dead is never entered again, so the work is linear in the length and the result
-is the exact merge sequence.
+is the exact merge sequence.  Many pre-tokens are encoded in step: the
+automaton's goto function and the merges are laid out in hash tables that numpy
+looks up for all of them at once.
 
 Edge cases: a null text counts as empty and gives no ids; special-token strings
 are ordinary text; texts of any length are processed in blocks of pre-tokens.
@@ -20,7 +22,7 @@ import base64
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import chain, filterfalse, islice
 
 import ahocorasick
 import numpy as np
@@ -41,8 +43,10 @@ KEPT_CHARS = 256
 BLOCK = 1 << 16
 NONE = -1
 SEPARATOR = "\x01"
-#: A character outside of Latin-1, which no token holds; longer pre-tokens than LONG are encoded one by one.
-FOREIGN, LONG = "\u0100", 64
+#: Stands behind a pre-token and is no byte; longer pre-tokens than LONG are encoded one by one.
+END, LONG = 256, 64
+#: White_Space other than space and line feed.
+ODD_SPACE = "\t\v\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Chunks whose unknown ones are encoded together.
 TOGETHER = 1 << 18
 
@@ -74,6 +78,37 @@ class Memo(dict):
         self.update(new)
 
 
+class Table:
+    """Distinct int64 keys from 0 -> int32 values, looked up for whole arrays; open addressing, at most half full."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = (2 * len(keys)).bit_length()
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, NONE, np.int64), np.full(1 << bits, NONE, np.int32)
+        slot = self._slots(keys)
+        while len(keys):
+            free = self.keys[slot] == NONE
+            self.keys[slot[free]] = keys[free]  # of several for one slot the last stays
+            placed = self.keys[slot] == keys
+            self.values[slot[placed]] = values[placed]
+            keys, values, slot = keys[~placed], values[~placed], (slot[~placed] + 1) & self.last
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, or NONE."""
+        slot = self._slots(keys)
+        found, out = self.keys[slot], self.values[slot]
+        other = np.flatnonzero((found != keys) & (found != NONE))
+        while len(other):
+            slot[other] = (slot[other] + 1) & self.last
+            found = self.keys[slot[other]]
+            out[other] = self.values[slot[other]]
+            other = other[(found != keys[other]) & (found != NONE)]
+        return out
+
+
 class Encoder:
     """Encoder and decoder for one rank file (ids are ranks, single bytes all present)."""
 
@@ -90,7 +125,6 @@ class Encoder:
         self.most = max(self.size)
         self.decimal = [b"%d" % i for i in range(size)]
         self.single = [np.int32(i).tobytes() for i in range(size)]
-        self.odd_space = regex.compile(r"[^\S \n]").search
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for token, rank in self.ranks.items():
             self.automaton.add_word(token.decode("latin-1"), rank)
@@ -114,6 +148,10 @@ class Encoder:
                     self.halves[rank] = (left, right)
                     break
                 left = self.shorter[left]
+        left, right = np.array(list(self.merged), np.int64).reshape(-1, 2).T
+        self.merges = Table(left << 24 | right, np.array(list(self.merged.values()), np.int64))
+        self.left_half, self.right_half = np.array(self.halves, np.int64).T
+        self._lay_out()
         self.pair_keys, self.pair_fits = np.full(1 << PAIR_BITS, NONE), np.zeros(1 << PAIR_BITS, bool)
         self.memo = Memo(self._encode_chunk, MEMO_PIECES)
 
@@ -133,6 +171,54 @@ class Encoder:
             else:
                 bound, right = right + 1, inner_right
 
+    def _lay_out(self) -> None:
+        """The goto function: ``goto`` has the node after a node and a byte, ``token_of`` the token that ends at a node."""
+        tokens = [t for t in self.vocab if t]
+        rank, size = np.flatnonzero(self.sizes), np.array(list(map(len, tokens)))
+        text, start = np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(size) - size
+        node, open_, nodes, depth = np.zeros(len(tokens), np.int64), np.arange(len(tokens)), 1, 0
+        keys, token_of = [], [np.array([NONE])]
+        while len(open_):
+            step, place = np.unique(node[open_] * (END + 1) + text[start[open_] + depth], return_inverse=True)
+            node[open_] = nodes + place
+            nodes, depth = nodes + len(step), depth + 1
+            ends = np.full(len(step), NONE)
+            whole = size[open_] == depth
+            ends[place[whole]] = rank[open_[whole]]
+            keys.append(step)
+            token_of.append(ends)
+            open_ = open_[~whole]
+        self.goto, self.token_of = Table(np.concatenate(keys), np.arange(1, nodes)), np.concatenate(token_of)
+
+    def _longest_all(self, text: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The longest token that starts at each place of an array of bytes; every stretch of bytes is followed by END."""
+        best = np.full(len(at), NONE)
+        lane, node = np.arange(len(at)), np.zeros(len(at), np.int64)
+        while len(lane):
+            node = self.goto.get(node * (END + 1) + text[at])
+            on = np.flatnonzero(node != NONE)
+            lane, node, at = lane[on], node[on].astype(np.int64), at[on] + 1
+            token = self.token_of[node]
+            some = np.flatnonzero(token != NONE)
+            best[lane[some]] = token[some]
+        return best
+
+    def _borders_hold(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``_border_holds`` of many pairs."""
+        out, lane, bound = np.ones(len(left), bool), np.arange(len(left)), np.full(len(left), 1 << 62)
+        while len(lane):
+            joined = self.merges.get(left << 24 | right)
+            crossed = (joined != NONE) & (joined < bound)
+            out[lane[crossed]] = False
+            inner_left, inner_right = self.right_half[left], self.left_half[right]
+            whole_left, whole_right = inner_left == left, inner_right == right
+            by_left = whole_right | ((left > right) & ~whole_left)
+            bound = np.where(by_left, left, right + 1)
+            on = ~crossed & ~(whole_left & whole_right)
+            left, right = np.where(by_left, inner_left, left)[on], np.where(by_left, right, inner_right)[on]
+            lane, bound = lane[on], bound[on]
+        return out
+
     def compatible(self, left: int, right: int) -> bool:
         key = left << 24 | right
         known = self._compatible.get(key)
@@ -178,58 +264,41 @@ class Encoder:
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of many pre-tokens, as int32 bytes: ``encode_piece`` for all of them in step.
 
-        Each round, the automaton walks what is left of all of them in one
-        pass, always taking the longest token, and tokens are accepted up to
-        the first that does not fit its predecessor.  Its shorter prefixes are
-        tried, then those of the accepted tokens before it, latest first.  The
-        sequence of fitting tokens for the bytes before a place is unique, so a
-        place left behind is not come to again and none need be marked dead.
+        Each round, every pre-token takes the longest token at its place if that
+        fits its predecessor.  Else its shorter prefixes are tried, then those of
+        the accepted tokens before it, latest first.  The sequence of fitting
+        tokens for the bytes before a place is unique, so a place left behind is
+        not come to again and none need be marked dead.
         """
         if not pieces:
             return []
-        texts = [p.decode("latin-1") for p in pieces]
-        length = np.fromiter(map(len, texts), np.int64, len(texts))
-        stack = np.empty((len(texts), int(length.max()) + 1), np.int32)
+        length = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        end = np.cumsum(length + 1) - 1
+        text = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8).astype(np.int64)
+        text[end] = END
+        stack = np.empty((len(pieces), int(length.max()) + 1), np.int32)
         stack[:, 0] = NONE
-        depth, at, lane, rest = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.arange(len(texts)), texts
+        depth, at = np.zeros(len(pieces), np.int64), end - length
+        lane = np.flatnonzero(length)
         while len(lane):
-            found = np.fromiter(chain.from_iterable(self.automaton.iter_long(FOREIGN.join(rest))), np.int64)
-            token = found[1::2]
-            start = found[::2] + 1 - self.sizes[token]
-            begin = np.cumsum(np.r_[0, length[lane] - at[lane] + 1])  # of each rest; they are parted by one character
-            first = np.searchsorted(start, begin)
-            count = np.diff(first)
-            row = np.repeat(np.arange(len(lane)), count)
-            before = np.r_[NONE, token[:-1]]
-            before[first[:-1]] = stack[lane, depth[lane]]
-            wrong = np.flatnonzero(~self.compatible_all(before, token))
-            wrong = wrong[np.r_[True, row[wrong[1:]] != row[wrong[:-1]]]] if len(wrong) else wrong  # the first of each
-            stop = first[1:].copy()
-            stop[row[wrong]] = wrong
-            nth = np.arange(len(token))
-            good = nth < stop[row]
-            nth = nth - first[row] + depth[lane][row] + 1
-            stack[lane[row[good]], nth[good]] = token[good]
-            depth[lane] += stop - first[:-1]
-            at[lane] = length[lane]
-            at[lane[row[wrong]]] -= begin[row[wrong] + 1] - 1 - start[wrong]
-            lane, now = lane[row[wrong]], token[wrong]
-            open_ = np.arange(len(lane))
+            now = self._longest_all(text, at[lane])
+            at[lane] += self.sizes[now]
+            open_ = np.flatnonzero(~self.compatible_all(stack[lane, depth[lane]].astype(np.int64), now))
             while len(open_):
-                who, now[open_] = lane[open_], self.shorter_of[now[open_]]
+                who, last = lane[open_], now[open_]
+                now[open_] = self.shorter_of[last]
+                at[who] -= self.sizes[last]
                 none = now[open_] == NONE
                 back = who[none]  # no prefix fits: those of the token before come next
                 now[open_[none]] = stack[back, depth[back]]
-                at[back] -= self.sizes[now[open_[none]]]
                 depth[back] -= 1
                 some = open_[~none]
+                at[lane[some]] += self.sizes[now[some]]
                 fits = self.compatible_all(stack[lane[some], depth[lane[some]]].astype(np.int64), now[some])
                 open_ = np.concatenate([open_[none], some[~fits]])
             depth[lane] += 1
             stack[lane, depth[lane]] = now
-            at[lane] += self.sizes[now]
-            lane = lane[at[lane] < length[lane]]
-            rest = [texts[k][i:] for k, i in zip(lane.tolist(), at[lane].tolist(), strict=True)]
+            lane = lane[at[lane] < end[lane]]
         flat = stack[:, 1:][np.arange(stack.shape[1] - 1) < depth[:, None]].tobytes()
         ends = 4 * np.cumsum(depth)
         return [flat[a:b] for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True)]
@@ -242,8 +311,7 @@ class Encoder:
         new = np.flatnonzero((self.pair_keys[slot] != pair) & (pair != NONE))
         if len(new):
             pairs, place = np.unique(pair[new], return_inverse=True)
-            found = np.array([self._border_holds(k >> 24, k & 0xFFFFFF) for k in pairs.tolist()], bool)
-            fits[new] = found[place]
+            fits[new] = self._borders_hold(pairs >> 24, pairs & 0xFFFFFF)[place]
             self.pair_fits[slot[new]] = fits[new]
             self.pair_keys[slot[new]] = pair[new]
         return fits | (pair == NONE)
@@ -268,24 +336,28 @@ class Encoder:
         """Fill the memo with what it lacks of these chunks; very long ones are left to be encoded when met."""
         memo, older = self.memo, self.memo.older
         need: set[str] = set().union(*blocks)
-        fresh = [c for c in need if c not in memo and len(c) <= KEPT_CHARS]
-        known = {c: older[c] for c in fresh if c in older}
+        fresh = [c for c in filterfalse(memo.__contains__, need) if len(c) <= KEPT_CHARS]
+        known = {c: older[c] for c in filter(older.__contains__, fresh)}
         plain, mixed = [], []
-        for c in fresh:
-            if c not in known:
-                (plain if (c[1:] if c[0] == " " else c).isalpha() else mixed).append(c)
+        for c in filterfalse(known.__contains__, fresh):
+            (plain if c.isalpha() or c[:1] == " " and c[1:].isalpha() else mixed).append(c)
         parts = list(map(self.pattern.findall, mixed))
-        pieces = list({*plain, *chain.from_iterable(parts)})
-        as_bytes = list(map(str.encode, pieces))
-        ranks = list(map(self.ranks.get, as_bytes))
-        ids = {p: self.single[r] for p, r in zip(pieces, ranks, strict=True) if r is not None}
-        rare = [(p, b) for p, b, r in zip(pieces, as_bytes, ranks, strict=True) if r is None]
-        short = [x for x in rare if len(x[1]) <= LONG]
-        ids.update(zip((p for p, _ in short), self.encode_pieces([b for _, b in short]), strict=True))
-        ids.update((p, np.array(self.encode_piece(b), np.int32).tobytes()) for p, b in rare if len(b) > LONG)
-        known.update((c, ids[c]) for c in plain)
-        get = ids.__getitem__
-        known.update((c, b"".join(map(get, x))) for c, x in zip(mixed, parts, strict=True))
+        todo = dict.fromkeys(plain)
+        for p in {*chain.from_iterable(parts)}:
+            if p not in memo and p not in known:
+                if p in older:
+                    known[p] = older[p]
+                else:
+                    todo[p] = None
+        as_bytes = list(map(str.encode, todo))
+        if max(map(len, as_bytes), default=0) <= LONG:
+            ids = self.encode_pieces(as_bytes)
+        else:
+            short = iter(self.encode_pieces([b for b in as_bytes if len(b) <= LONG]))
+            ids = [next(short) if len(b) <= LONG else np.array(self.encode_piece(b), np.int32).tobytes() for b in as_bytes]
+        known.update(zip(todo, ids, strict=True))
+        for c, pieces in zip(mixed, parts, strict=True):
+            known[c] = b"".join([known[p] if p in known else memo[p] for p in pieces])
         memo.keep_all(known, need)
 
     def pieces(self, text: str) -> Iterator[list[str]]:
@@ -305,7 +377,7 @@ class Encoder:
         are not white space: the space opens the next pre-token, the line feed
         is one.  A text with any other white space is cut by the pattern.
         """
-        if SEPARATOR in text or self.odd_space(text) or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1] in " \n" or text[-1:] in " \n":
+        if SEPARATOR in text or any(map(text.__contains__, ODD_SPACE)) or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1] in " \n" or text[-1:] in " \n":
             yield from self.pieces(text)
         else:
             yield text.replace("\n", f"{SEPARATOR}\n{SEPARATOR}").replace(" ", f"{SEPARATOR} ").split(SEPARATOR)
