@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, component_labels, materialised, text_slices
+from .common import as_bytes, component_labels, discard, materialised, text_slices
 from .simhash import LOWER
 
 #: Least certain bits of a segment, over which its ball is laid; chance that a pair at 0.8 is missed.
@@ -51,6 +52,10 @@ NEAR_96 = 29
 SMALL = 16
 #: Rows of one value that are taken in at once, and tasks that one set's comparisons are dealt to.
 HELD, SALTS = 1 << 18, 1024
+#: Shingles that a task puts together at once.
+LOT = 1 << 20
+#: Sets whose shingles are counted in one pass, and the most passes: only the shingles of one pass are on disk at once.
+PER_PASS, PASSES = 1 << 14, 4
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 FLIPS = np.array([[0, 0, 0], [1, 0, 0], [0, 1, 0], [0, 0, 1], [1, 1, 0], [1, 0, 1], [0, 1, 1]], np.int64)
 
@@ -224,29 +229,69 @@ def met(rows: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, node long, tail long, print long, first long")
 
 
-def rare_first(df: DataFrame, node_col: str, text_col: str, k: int) -> DataFrame:
+def pressed(df: DataFrame, node_col: str, text_col: str) -> DataFrame:
+    """``node, body``: the text compressed, once for each node of a slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zip_ = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for part in text_slices(batch, "_text"):
+                distinct = dict(zip(part.column(0).to_pylist(), as_bytes(part.column(1)), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(list(distinct), pa.int64()), pa.array([zip_.compress(t) for t in distinct.values()], pa.binary())], names=["node", "body"])
+
+    return df.select(F.col(node_col).alias("_node"), F.col(text_col).alias("_text")).mapInArrow(run, "node long, body binary")
+
+
+def in_class(bodies: DataFrame, k: int, turn: int, passes: int, counted: bool) -> DataFrame:
+    """``shingle, node`` of the shingles whose hash is ``turn`` modulo ``passes``; counted: ``shingle, n`` for each lot of texts instead."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unzip = zstandard.ZstdDecompressor()
+        for batch in batches:
+            nodes, bodies = batch.column(0).to_numpy(), batch.column(1)
+            start = total = 0
+            sets: list[np.ndarray] = []
+            for i in range(len(nodes)):
+                own = shingle_set(unzip.decompress(bodies[i].as_py()), k)
+                sets.append(own[own % np.uint64(passes) == turn].view(np.int64))
+                total += len(sets[-1])
+                if total >= LOT or i == len(nodes) - 1:
+                    every = np.concatenate(sets)
+                    other = np.repeat(nodes[start : i + 1], [len(x) for x in sets])
+                    if counted:
+                        every, other = np.unique(every, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(every), pa.array(other, pa.int64())], names=["shingle", "n" if counted else "node"])
+                    start, total, sets = i + 1, 0, []
+
+    return bodies.mapInArrow(run, "shingle long, n long" if counted else "shingle long, node long")
+
+
+def rare_first(bodies: DataFrame, prints: DataFrame, k: int, passes: int) -> DataFrame:
     """``shingle, node, size``: of every set the shingles that it has to share one of with any set at 0.8.
 
     Two such sets of n and m shingles share 0.8 of the larger at least, so under
     any one order of all shingles their first n // 5 + 1 have one in common.
     The order is by the number of sets that hold a shingle, the rarest first: a
     passage that many texts share is no reason to compare them.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_slices(batch, "_text"):
-                sets = {n: shingle_set(t, k) for n, t in zip(part.column(0).to_pylist(), as_bytes(part.column(1)), strict=True)}
-                count = np.array([len(x) for x in sets.values()], np.int64)
-                every = np.concatenate([*sets.values(), np.empty(0, np.uint64)]).view(np.int64)
-                columns = [pa.array(every), pa.array(np.repeat(np.array(list(sets), np.int64), count)), pa.array(np.repeat(count, count))]
-                yield pa.RecordBatch.from_arrays(columns, names=["shingle", "node", "size"])
+    Shingles of one set only are counted but not written: they come first, and
+    their number is what the set's size leaves.  All shingles are counted, by
+    classes of their hashes, of which one at a time is shuffled.
 
-    rows = df.select(F.col(node_col).alias("_node"), F.col(text_col).alias("_text")).mapInArrow(run, "shingle long, node long, size long").distinct()
-    often = rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
-    ordered = rows.join(often, "shingle", "left").groupBy("node").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "shingle"))).alias("s"))
-    first = F.slice("s", 1, F.floor(F.col("size") / 5).cast("int") + 1)
-    return ordered.select("node", "size", F.explode(F.filter(first, lambda x: x["n"] > 1)).alias("x")).select("x.shingle", "node", "size")
+    bodies: each node once; prints: with the ``size`` of every set.
+    """
+    shared = []
+    for turn in range(passes):
+        often = materialised(in_class(bodies, k, turn, passes, True).groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1"), tidy=True)
+        shared.append(materialised(in_class(bodies, k, turn, passes, False).join(often, "shingle").select("node", "shingle", "n"), tidy=True))
+        discard(often)
+    ordered = reduce(DataFrame.unionByName, shared).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("s")).join(prints.select("node", "size"), "node")
+    unique = F.col("size") - F.size("s")
+    first = F.slice("s", 1, F.greatest(F.floor(F.col("size") / 5).cast("int") + 1 - unique, F.lit(0)))
+    rare = materialised(ordered.select("node", "size", F.explode(first).alias("x")).select("x.shingle", "node", "size"), tidy=True)
+    for table in shared:
+        discard(table)
+    return rare
 
 
 def far_limit(bits: int, few: bool = False) -> int:
@@ -255,13 +300,14 @@ def far_limit(bits: int, few: bool = False) -> int:
     return math.ceil(bits * share + DEVIATIONS * math.sqrt(bits * share * (1 - share)))
 
 
-def by_shingle(rows: DataFrame, words: int, every: bool, turn: int = 0) -> DataFrame:
+def by_shingle(rows: DataFrame, prints: DataFrame, every: bool, turn: int = 0) -> DataFrame:
     """``a, b`` under one shingle that may be linked and are of different roots: with its leader only, or ``every`` pair.
 
     Leaders are others in each turn.
 
-    rows: ``shingle, root, node, size`` and the words of the fingerprint, by all of which a pair has to be near.
+    rows: ``shingle, root, node, size``; a pair has to be near by all words of the fingerprints in ``prints``.
     """
+    words = len(prints.columns) - 3
     limit, few = far_limit(64 * words), far_limit(64 * words, True)
 
     def solve(root: np.ndarray, node: np.ndarray, size: np.ndarray, *prints: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -305,7 +351,8 @@ def by_shingle(rows: DataFrame, words: int, every: bool, turn: int = 0) -> DataF
             yield from solve(*(np.concatenate(x) for x in list(zip(*held, strict=True))[1:]))
 
     several = rows.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
-    rows = rows.join(several, "shingle").select("shingle", "root", "node", "size", *(f"f{w}" for w in range(words)))
+    # the wide fingerprints only go to rows that are left
+    rows = rows.join(several, "shingle").join(prints.drop("size", "weak"), "node").select("shingle", "root", "node", "size", *(f"f{w}" for w in range(words)))
     # with a different leader under each shingle, each round connects much of a family
     order = ("root", "node") if every else (F.xxhash64("shingle", "node", F.lit(turn)),)
     return rows.repartition("shingle").sortWithinPartitions("shingle", *order).mapInArrow(run, "a long, b long")
@@ -314,25 +361,18 @@ def by_shingle(rows: DataFrame, words: int, every: bool, turn: int = 0) -> DataF
 def verified(pairs: DataFrame, prints: DataFrame, df: DataFrame, node_col: str, text_col: str, k: int) -> DataFrame:
     """The pairs ``a, b`` whose complete fingerprints are near and whose whole sets have a similarity of 0.8 or more."""
     words = len(prints.columns) - 3
-    near = materialised(pairs.distinct())
+    near = materialised(pairs.distinct(), tidy=True)
     for side in "ab":
         near = near.join(prints.select(F.col("node").alias(side), F.col("size").alias(f"{side}_size"), *(F.col(f"f{w}").alias(f"{side}{w}") for w in range(words))), side)
     differ = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in range(words)), F.lit(0))
-    near = materialised(near.where(differ <= F.when(F.least("a_size", "b_size") < FEW, far_limit(64 * words, True)).otherwise(far_limit(64 * words))).select("a", "b"))
+    near = materialised(near.where(differ <= F.when(F.least("a_size", "b_size") < FEW, far_limit(64 * words, True)).otherwise(far_limit(64 * words))).select("a", "b"), tidy=True)
     # a set is compared with its partners by as many tasks as it has partners, up to SALTS
     salted = near.select("a", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt"), F.col("b").alias("node"))
     jobs = salted.unionByName(salted.select("a", "salt", F.col("a").alias("node")).distinct())
     needed = jobs.select(F.col("node").alias("_in")).distinct()
 
-    def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zip_ = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            for part in text_slices(batch, "_text"):
-                distinct = dict(zip(part.column(0).to_pylist(), as_bytes(part.column(1)), strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(list(distinct), pa.int64()), pa.array([zip_.compress(t) for t in distinct.values()], pa.binary())], names=["node", "body"])
-
-    bodies = df.select(F.col(node_col).alias("_node"), F.col(text_col).alias("_text")).join(needed, F.col("_node") == F.col("_in"), "left_semi").mapInArrow(press, "node long, body binary")
-    bodies = bodies.groupBy("node").agg(F.first("body").alias("body"))
+    texts = df.select(F.col(node_col).alias("_node"), F.col(text_col).alias("_text")).join(needed, F.col("_node") == F.col("_in"), "left_semi")
+    bodies = pressed(texts, "_node", "_text").groupBy("node").agg(F.first("body").alias("body"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip, at, own = zstandard.ZstdDecompressor(), None, np.empty(0, np.uint64)
@@ -350,29 +390,35 @@ def verified(pairs: DataFrame, prints: DataFrame, df: DataFrame, node_col: str,
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     ready = jobs.join(bodies, "node").select("a", "salt", "node", "body").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("node") != F.col("a"))
-    return materialised(ready.mapInArrow(compare, "a long, b long"))
+    return materialised(ready.mapInArrow(compare, "a long, b long"), tidy=True)
 
 
 def similar_groups(df: DataFrame, node_col: str, text_col: str = "text", k: int = 5) -> DataFrame:
     """``node, root`` for every node linked to another, with the smallest node of its group; ``node_col`` stands for the text."""
     width, segments = layout(df.count())
-    prints = materialised(fingerprinted(df, node_col, text_col, k, width, segments))
-    seen = materialised(met(filed(prints, width, segments)))
+    prints = materialised(fingerprinted(df, node_col, text_col, k, width, segments), tidy=True)
+    seen = materialised(met(filed(prints, width, segments)), tidy=True)
     # the smallest leader of each set: in a family it is mostly the same one
     stars = seen.where("first is not null").groupBy("node").agg(F.min("first").alias("first"))
     links = verified(stars.select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b")), prints, df, node_col, text_col, k)
-    labels = materialised(component_labels(links))
+    labels = materialised(component_labels(links, tidy=True), tidy=True)
     # what meets and is not yet connected is compared where it shares a rare shingle
-    rooted = materialised(seen.join(labels, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
+    rooted = materialised(seen.join(labels, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), tidy=True)
+    discard(seen)
     split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    open_ = materialised(rooted.join(split, "key").select(F.col("node").alias("_in")).distinct())
-    words = len(prints.columns) - 3
-    rare = materialised(rare_first(df.join(open_, F.col(node_col) == F.col("_in"), "left_semi"), node_col, text_col, k).join(prints.drop("size", "weak"), "node"))
+    open_ = materialised(rooted.join(split, "key").select(F.col("node").alias("_in")).distinct(), tidy=True)
+    discard(rooted)
+    # texts are compressed, and copies dropped, before they are dealt out
+    bodies = pressed(df, node_col, text_col).groupBy("node").agg(F.first("body").alias("body"))
+    bodies = materialised(bodies.join(open_, F.col("node") == F.col("_in"), "left_semi"), tidy=True)
+    rare = rare_first(bodies, prints, k, min(PASSES, 1 + open_.count() // PER_PASS))
+    discard(bodies)
     for turn, every in enumerate((False, False, True)):
         # written out: a plan that joins itself under renamed columns gave wrong roots
-        now = materialised(rare.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")))
-        more = verified(by_shingle(now, words, every, turn), prints, df, node_col, text_col, k)
+        now = materialised(rare.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")), tidy=True)
+        more = verified(by_shingle(now, prints, every, turn), prints, df, node_col, text_col, k)
+        discard(now)
         if not more.isEmpty():
             links = links.unionByName(more)
-            labels = materialised(component_labels(links))
+            labels = materialised(component_labels(links, tidy=True), tidy=True)
     return labels.where("node <> root")
