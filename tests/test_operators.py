@@ -217,6 +217,40 @@ def test_near_dup_equals_greedy_scan(spark, threshold):
     assert {r.id: r.leader for r in got} == greedy(texts, threshold)
 
 
+def test_candidates_of_common_grams_are_few(spark):
+    """Texts that share most grams, none of them similar: nearly none are compared; similar ones all are."""
+    rng = random.Random(8)
+    syllables = [a + b for a in "bcdfgklmnprst" for b in "aeiou"]
+    words = ["".join(rng.choice(syllables) for _ in range(3)) for _ in range(400)]
+    base = [rng.sample(words, 120) for _ in range(300)]
+    texts = [" ".join(x) for x in base] + [" ".join(x[:-2] + ["zzz"]) for x in base[:20]]
+    sets = dedup.gram_sets(spark.createDataFrame(list(enumerate(texts)), "id int, t string"), "id", "t").cache()
+    found = {(r.a, r.b) for r in dedup._candidates(sets, 0.85).collect()}
+    assert {(i, 300 + i) for i in range(20)} <= found and len(found) < 60
+
+
+def test_tiles_meet_each_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "TILE_ROWS", 7)
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 60))) for _ in range(150)]
+    sets = dedup.gram_sets(spark.createDataFrame(list(enumerate(texts)), "id int, t string"), "id", "t").cache()
+    plain = {r.id: set(r.g) for r in sets.collect()}
+    want = {(a, b) for a in plain for b in plain if a < b and len(plain[a] & plain[b]) >= 0.5 * len(plain[a] | plain[b])}
+    found = [(r.a, r.b) for r in dedup._candidates(sets, 0.5).collect()]
+    assert len(found) == len(set(found)) and want <= set(found)
+
+
+def test_gram_codes_are_the_grams(spark):
+    texts = [None, "", "a", "ab", "\x00b", "abc", "aaaa", "😀x😀x", "知盈医学 知盈"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", "t", dedup.grams(F.col("t")).alias("g")).collect()
+
+    def code(gram):
+        padded = [0] * (3 - len(gram)) + [ord(c) + 1 for c in gram]
+        return padded[0] << 42 | padded[1] << 21 | padded[2]
+
+    assert all(dedup.gram_codes(r.t).tolist() == sorted(code(g) for g in r.g) for r in rows)
+
+
 def test_mark(spark):
     chunks = spark.createDataFrame([("a", ["k"]), ("b", None)], "id string, tags array<string>")
     found = spark.createDataFrame([("a", "z")], "id string, leader string")
