@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docforge.functions import text as T
@@ -251,6 +252,24 @@ def test_gram_codes_are_the_grams(spark):
     assert all(dedup.gram_codes(r.t).tolist() == sorted(code(g) for g in r.g) for r in rows)
 
 
+def test_top_k_per_query_in_tiles_equals_all_pairs(spark, monkeypatch):
+    """Odd vectors and ties included; no join of rows with queries is left in the plan."""
+    monkeypatch.setattr(embedding, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(embedding, "BLOCK_QUERIES", 5)
+    rng = random.Random(12)
+    some = [[rng.choice([-1.0, -0.5, 0.0, 0.5, 1.0]) for _ in range(3)] for _ in range(90)]
+    odd = [None, [], [1.0, None, 0.0], [1.0, 0.5], [float("nan"), 1.0, 0.0], [float("inf"), 1.0, 0.0], [0.0, 0.0, 0.0], [1e-170, 0.0, 0.0]]
+    rows = spark.createDataFrame(list(enumerate(some + odd)), "id int, embedding array<double>")
+    queries = rows.where("id % 10 = 0 or id >= 90").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    got = embedding.top_k_per_query(rows, queries, 7)
+    assert "NestedLoop" not in got._jdf.queryExecution().toString() and "CartesianProduct" not in got._jdf.queryExecution().toString()
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    pairs = rows.crossJoin(queries).select("query_id", "id", cosine(F.col("embedding"), F.col("query")).alias("similarity"))
+    want = pairs.withColumn("rank", F.row_number().over(w)).where("rank <= 7")
+    shown = [sorted((r.query_id, r["rank"], r.id, str(r.similarity)) for r in x.collect()) for x in (got, want)]
+    assert shown[0] == shown[1] and len(shown[0]) == 7 * 17
+
+
 def test_mark(spark):
     chunks = spark.createDataFrame([("a", ["k"]), ("b", None)], "id string, tags array<string>")
     found = spark.createDataFrame([("a", "z")], "id string, leader string")
