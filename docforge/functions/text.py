@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -23,6 +26,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Characters of text that a worker turns into Python objects at once.
+SLICE_CHARS = 1 << 18
+
+
+def slices(column: pa.Array, most: int | None = None) -> Iterator[tuple[int, int]]:
+    """``start, length`` of runs of rows of about so many bytes of text; a longer row is a run of its own."""
+    most = most or SLICE_CHARS
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    start, base = 0, 0
+    while start < len(ends):
+        end = max(start + 1, int(np.searchsorted(ends, base + most, "right")))
+        yield start, end - start
+        start, base = end, int(ends[end - 1])
+
+
 def strip(c: Column) -> Column:
     """Remove Java white space from both ends (U+3000 goes, U+00A0 stays)."""
     return F.regexp_replace(c, r"^\p{javaWhitespace}+|\p{javaWhitespace}+\z", "")

@@ -12,11 +12,12 @@ from typing import Any
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.text import content_hash, decode_bytes, document_id, normalize
+from ..functions.text import content_hash, decode_bytes, document_id, normalize, slices
 
 #: The file types that are taken in.
 EXTENSIONS = ("pdf", "doc", "docx", "ppt", "pptx", "xls", "xlsx", "txt", "md", "html", "htm", "rtf", "odt", "jpg", "jpeg", "png", "tif", "tiff", "bmp", "gif")
@@ -100,10 +101,14 @@ def html_text(html: str | None) -> tuple[str, str]:
     return "\n".join(x for x in rows if x), "".join(p.title).strip()
 
 
-@F.pandas_udf(StructType([StructField("text", StringType()), StructField("title", StringType())]))
-def html_to_text(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for s in batches:
-        yield pd.DataFrame([html_text(x) for x in s], columns=["text", "title"])
+@F.arrow_udf(StructType([StructField("text", StringType()), StructField("title", StringType())]))
+def html_to_text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for pages in batches:
+        parts = []
+        for start, length in slices(pages):
+            found = [html_text(x.as_py()) for x in pages.slice(start, length)]
+            parts.append(pa.StructArray.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in (0, 1)], names=["text", "title"]))
+        yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("text", pa.string()), ("title", pa.string())]))
 
 
 def html_title(c: Column) -> Column:
