@@ -12,11 +12,11 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import chunk_id, lines, strip
+from ..functions.text import chunk_id, lines, slices, strip
 from ..functions.vectors import cosine
 
 # Heading forms, words and limits.
@@ -203,18 +203,26 @@ def chunk_text(text: str | None, limits: Limits, words: frozenset[str] | set[str
 def structure_aware(df: DataFrame, doc_col: str, text_col: str = "text", path_col: str | None = None, limits: Limits | None = None, words: tuple[str, ...] = HEADING_WORDS) -> DataFrame:
     """Chunks of every document, in ``CHUNK_SCHEMA``; documents without text give none."""
     limits, known = limits or Limits(), frozenset(words)
+    path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
+    return df.select(F.col(doc_col).cast("string").alias("d"), F.col(text_col).alias("t"), path.alias("p")).mapInArrow(lambda batches: chunk_batches(batches, limits, known), CHUNK_SCHEMA)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [
-                (f"{doc}#{ordinal}", doc, path, part, ordinal, title, level, 0, len(part), "PARAGRAPH")
-                for doc, text, path in zip(pdf["d"], pdf["t"], pdf["p"], strict=True)
-                for ordinal, part, title, level in chunk_text(text, limits, known)
-            ]
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in CHUNK_SCHEMA.split(", ")])
 
-    path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
-    return df.select(F.col(doc_col).cast("string").alias("d"), F.col(text_col).alias("t"), path.alias("p")).mapInPandas(run, CHUNK_SCHEMA)
+def chunk_batches(batches: Iterator[pa.RecordBatch], limits: Limits, known: frozenset[str]) -> Iterator[pa.RecordBatch]:
+    """Batches of chunks, each of a slice of a batch of documents (id, text, path)."""
+    fields = [x.split() for x in CHUNK_SCHEMA.split(", ")]
+    kinds = {"string": pa.string(), "int": pa.int32()}
+
+    def made(docs: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [
+            (f"{doc}#{ordinal}", doc, path, part, ordinal, title, level, 0, len(part), "PARAGRAPH")
+            for doc, text, path in zip(*(docs.column(i).to_pylist() for i in range(3)), strict=True)
+            for ordinal, part, title, level in chunk_text(text, limits, known)
+        ]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[kind]) for i, (_, kind) in enumerate(fields)], names=[name for name, _ in fields])
+
+    for batch in batches:
+        for start, length in slices(batch.column(1)):
+            yield made(batch.slice(start, length))
 
 
 def fragment_groups(chunks: DataFrame, doc_col: str = "documentId", order_col: str = "ordinal", text_col: str = "text") -> DataFrame:

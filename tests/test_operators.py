@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -270,6 +271,28 @@ def test_top_k_per_query_in_tiles_equals_all_pairs(spark, monkeypatch):
     assert shown[0] == shown[1] and len(shown[0]) == 7 * 17
 
 
+def test_workers_make_chunks_pages_and_vectors_of_few_rows_at_once(spark, monkeypatch):
+    """What a worker holds as Python objects is bounded by bytes, not by the rows of an Arrow batch."""
+    monkeypatch.setattr(T, "SLICE_CHARS", 1000)
+    texts = [None, "", "x" * 3000] + ["一" * 100] * 30
+    column = pa.array(texts)
+    runs = list(T.slices(column))
+    assert [i for start, n in runs for i in range(start, start + n)] == list(range(len(texts)))
+    assert max(sum(len((texts[i] or "").encode()) for i in range(start, start + n)) for start, n in runs if n > 1) <= 1000
+    docs = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(len(texts))]), column, pa.nulls(len(texts), pa.string())], names=["d", "t", "p"])
+    sizes = [batch.num_rows for batch in chunking.chunk_batches(iter([docs]), chunking.Limits(), frozenset())]
+    assert len(sizes) == len(runs) and sum(sizes) == 6 + 30
+
+    class Provider:
+        dimensions = 2
+
+        def embed_batch(self, texts):
+            return [[float(len(t)), 0.5] for t in texts]
+
+    rows = spark.createDataFrame([("a",), (None,), ("abc",)], "t string").coalesce(1)
+    assert [r.v for r in rows.select(embedding.embedder(Provider(), 1)(F.col("t")).alias("v")).collect()] == [[1.0, 0.5], None, [3.0, 0.5]]
+
+
 def test_mark(spark):
     chunks = spark.createDataFrame([("a", ["k"]), ("b", None)], "id string, tags array<string>")
     found = spark.createDataFrame([("a", "z")], "id string, leader string")
