@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -57,22 +56,24 @@ def embedder(provider: EmbeddingProvider, batch: int = BATCH, qps: float | None
     has a null vector.
     """
 
-    @F.pandas_udf(ArrayType(FloatType()))
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(ArrayType(FloatType()))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         limiter = RateLimiter(qps) if qps else None
         tries = retry or Retry()
         for s in batches:
-            texts = s.dropna()
-            out: list[list[float]] = []
+            texts = s.drop_null()
+            out = [np.zeros(0, np.float32)]
             for at in range(0, len(texts), batch):
-                part = texts.iloc[at : at + batch].tolist()
+                part = texts.slice(at, batch).to_pylist()
                 if limiter:
                     limiter.acquire()
                 got = tries.run(lambda part=part: provider.embed_batch(part))
                 if len(got) != len(part) or any(len(v) != provider.dimensions for v in got):
                     raise ValueError("EMBED_003: the provider gave vectors of another number or size")
-                out += got
-            yield pd.Series(out, index=texts.index, dtype=object).reindex(s.index).where(s.notna(), None)
+                out.append(np.asarray(got, np.float32).ravel())
+            known = s.is_valid().to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(known * provider.dimensions)])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out)), mask=pa.array(~known))
 
     return run
 
