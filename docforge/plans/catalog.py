@@ -327,12 +327,7 @@ x AS (SELECT doc_id, unnest(g) AS t FROM d), y AS (SELECT item_id, unnest(g) AS
 c AS (SELECT doc_id, item_id, count(*) AS k FROM x JOIN y USING (t) GROUP BY 1, 2)
 SELECT doc_id, item_id, round(k / (len(d.g) + len(i.g) - k), 6) AS similarity FROM c JOIN d USING (doc_id) JOIN i USING (item_id) WHERE k / (len(d.g) + len(i.g) - k) >= 0.4""")
 def benchmark_overlap(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", dedup.grams(F.col("text")).alias("g"))
-    items = read(spark, sf_dir, "benchmark").select("item_id", dedup.grams(F.col("text")).alias("h"))
-    x = docs.select("doc_id", F.size("g").alias("m"), F.explode("g").alias("t"))
-    y = items.select("item_id", F.size("h").alias("n"), F.explode("h").alias("t"))
-    # two sets of Jaccard 0.4 or more differ in size by a factor of 2.5 at most
-    c = x.join(y, "t").where((F.least("m", "n") * 2.5 >= F.greatest("m", "n"))).groupBy("doc_id", "item_id", "m", "n").agg(F.count("*").alias("k"))
+    c = dedup.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), "doc_id", "item_id", "text", 0.4)
     s = F.col("k") / (F.col("m") + F.col("n") - F.col("k"))
     return c.where(s >= 0.4).select("doc_id", "item_id", F.round(s, 6).alias("similarity"))
 

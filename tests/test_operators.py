@@ -293,6 +293,20 @@ def test_workers_make_chunks_pages_and_vectors_of_few_rows_at_once(spark, monkey
     assert [r.v for r in rows.select(embedding.embedder(Provider(), 1)(F.col("t")).alias("v")).collect()] == [[1.0, 0.5], None, [3.0, 0.5]]
 
 
+def test_overlaps_equal_all_pairs_without_a_row_for_each_common_gram(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "ITEMS", 4)
+    rng = random.Random(15)
+    texts = [None, "", "ab"] + ["".join(rng.choice("abc") for _ in range(rng.randint(3, 40))) for _ in range(40)]
+    items = texts[:3] + texts[5:12]
+    docs = spark.createDataFrame(list(enumerate(texts)), "d int, text string")
+    bench = spark.createDataFrame([(f"i{i}", t) for i, t in enumerate(items)], "i string, text string")
+    got = dedup.overlaps(docs, bench, "d", "i", "text", 0.4)
+    assert "Join" not in got._jdf.queryExecution().toString()
+    grams = lambda t: {t or ""} if len(t or "") < 3 else {t[j : j + 3] for j in range(len(t) - 2)}
+    want = {(a, f"i{b}", len(x), len(y), len(x & y)) for a, x in enumerate(map(grams, texts)) for b, y in enumerate(map(grams, items)) if len(x & y) >= 0.4 * len(x | y)}
+    assert {tuple(r) for r in got.collect()} == want
+
+
 def test_mark(spark):
     chunks = spark.createDataFrame([("a", ["k"]), ("b", None)], "id string, tags array<string>")
     found = spark.createDataFrame([("a", "z")], "id string, leader string")
